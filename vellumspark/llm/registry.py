@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding
+from . import bpe, decontamination, sharding, topk
 
 
 def queries() -> dict:
-    return {"op1_sharding": sharding.op1_sharding, "op5_decontamination": decontamination.op5_decontamination}
+    return {
+        "op1_sharding": sharding.op1_sharding,
+        "op3_top_k": topk.op3_top_k,
+        "op5_decontamination": decontamination.op5_decontamination,
+        "op7_bpe": bpe.op7_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5}
+    return {"op3_top_k": OP3, "op5_decontamination": OP5}
 
 
 #: Words, windows and hits by arrays; windows are compared as text with a separator that no word holds.
@@ -32,3 +37,14 @@ SELECT f.doc_id, CAST(len(f.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
   sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM fold f LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
 """
+
+OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
