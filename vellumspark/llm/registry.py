@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, sharding, topk
+from . import bpe, decontamination, html, neardup, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_near_dedup": neardup.op2_near_dedup,
         "op3_top_k": topk.op3_top_k,
+        "op4_quality": quality.op4_quality,
         "op5_decontamination": decontamination.op5_decontamination,
         "op7_bpe": bpe.op7_bpe,
+        "op8_html": html.op8_html,
     }
 
 
