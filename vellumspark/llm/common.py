@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,11 @@ class Scratch:
         out._vellum_at = at
         return out
 
+    def sweep(self) -> None:
+        """Let go of the shuffle files of finished steps, which Spark deletes once the driver has collected their plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -4,7 +4,7 @@ A document's set is reduced to minwise tokens. Each tree branches its documents
 the token fall into one node. Small nodes are compared exhaustively, large ones branch again by tokens not used above, and
 enough trees are grown that a pair at the similarity bound misses all of them with probability below 1 - RECALL.
 
-Links only have to connect groups, so a node first compares its members with its smallest one, and only nodes that still hold
+Links only have to connect groups, so a node first compares its members with one of them, and only nodes that still hold
 several groups are compared further; a large group of near copies costs as many comparisons as it has members. Links are
 always confirmed on full sets. Exact copies of a set are one node of the graph from the start.
 """
@@ -31,6 +31,9 @@ TOKENS, AGREE = 64, 29
 NODE = 256
 #: Times that a large node branches; what is still large then is compared block by block.
 DEPTH = 2
+#: Mean agreement from which a large node is compared block by block at once, as its children would be about as large.
+DENSE = 0.3
+MEMBER = "node long, rep long, tree int"
 MEMO = 300_000
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -133,29 +136,32 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "f1", "f2", "keys", "sig"])
 
 
+ROOT = mix(np.array(branches(0), np.uint64) + np.uint64(77))
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rep) for each selected token of a document, at the first level."""
-    salt = mix(np.array(branches(0), np.uint64) + np.uint64(77))
+    """(node, rep, tree) for each selected token of a document, at the first level."""
     for batch in batches:
         if batch.num_rows:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
-            node = mix(keys ^ salt[None, :]).astype(np.int64)
+            node = mix(keys ^ ROOT[None, :]).astype(np.int64)
             rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel(), pa.int64()), pa.array(rep, pa.int64())], names=["node", "rep"])
+            tree = np.tile(np.arange(keys.shape[1], dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel(), pa.int64()), pa.array(rep, pa.int64()), pa.array(tree, pa.int32())], names=["node", "rep", "tree"])
 
 
 def _deeper(level: int):
-    """(node, rep) of the children of each (node, rep, sig)."""
+    """(node, rep, tree) of the children of each (node, rep, tree, sig)."""
 
     def run(batches):
         at = branches(level)
         salt = mix(np.array(at, np.uint64) + np.uint64(1000 * level))
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(batch.num_rows, -1)[:, at].astype(np.uint64)
+                sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(batch.num_rows, -1)[:, at].astype(np.uint64)
                 node = mix(mix(sig ^ salt[None, :]) ^ batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]).astype(np.int64)
-                rep = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), node.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(node.ravel(), pa.int64()), pa.array(rep, pa.int64())], names=["node", "rep"])
+                rep, tree = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), node.shape[1]) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(node.ravel(), pa.int64()), pa.array(rep, pa.int64()), pa.array(tree, pa.int32())], names=["node", "rep", "tree"])
 
     return run
 
@@ -183,33 +189,38 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         yield held
 
 
-def _agreeing(sigs: list[bytes], labels: list[int]) -> np.ndarray:
-    """Which pairs have different labels and agree in enough tokens."""
-    s = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), -1)
+def _agreeing(tree: int, labels: list[int], keys: list[bytes], sigs: list[bytes]) -> np.ndarray:
+    """Which pairs have different labels, agree in enough tokens, and share no tree before this one: there they are compared."""
+    s, k = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), -1), np.frombuffer(b"".join(keys), "<u8").reshape(len(keys), -1)[:, :tree]
     lab = np.array(labels)
     out = np.zeros((len(s), len(s)), bool)
     for i in range(len(s)):
-        out[i] = (s == s[i]).sum(axis=1) >= AGREE
+        out[i] = ((s == s[i]).sum(axis=1) >= AGREE) & ~(k == k[i]).any(axis=1)
     return out & (lab[:, None] != lab[None, :])
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rep) of the members that agree with some member of another label. Rows: node, rep, label, sig by node."""
-    node, rep = [], []
-    for key, reps, labels, sigs in _groups(batches):
+    """(node, rep, tree) of the members that are to be compared with some other member. Rows: node, rep, tree, label, keys, sig by node."""
+    out: list[list] = [[], [], []]
+    for node, reps, trees, labels, keys, sigs in _groups(batches):
         if len(reps) > 1:
-            hit = np.flatnonzero(_agreeing(sigs, labels).any(axis=1))
-            node += [key[0]] * len(hit)
-            rep += [reps[i] for i in hit]
-        if len(rep) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rep, pa.int64())], names=["node", "rep"])
-            node, rep = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rep, pa.int64())], names=["node", "rep"])
+            hit = np.flatnonzero(_agreeing(trees[0], labels, keys, sigs).any(axis=1))
+            out[0] += node[: len(hit)]
+            out[1] += [reps[i] for i in hit]
+            out[2] += trees[: len(hit)]
+        if len(out[0]) > 5000:
+            yield _members(out)
+            out = [[], [], []]
+    yield _members(out)
+
+
+def _members(out: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["node", "rep", "tree"])
 
 
 def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links between groups of different labels, one for each two groups that they join. Rows: node, rep, label, sig, words."""
-    for _, reps, labels, sigs, sets in _groups(batches):
+    """Confirmed links between groups of different labels, one for each two groups that they join. Rows as in _live, and words."""
+    for _, reps, trees, labels, keys, sigs, sets in _groups(batches):
         root = {x: x for x in labels}
 
         def find(x, root=root):
@@ -218,7 +229,7 @@ def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return x
 
         full, a, b = [np.frombuffer(s, "<u8") for s in sets], [], []
-        for i, j in np.argwhere(np.triu(_agreeing(sigs, labels))):
+        for i, j in np.argwhere(np.triu(_agreeing(trees[0], labels, keys, sigs))):
             p, q = find(labels[i]), find(labels[j])
             if p != q and jaccard_linked(full[i], full[j]):
                 root[max(p, q)] = min(p, q)
@@ -260,31 +271,30 @@ def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = scratch.keep(slim.mapInArrow(_sketch, "id long, n long, f1 long, f2 long, keys binary, sig binary"))
     sets = rows.where("n > 0 AND id IS NOT NULL")
     reps = scratch.keep(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("keys").alias("keys"), F.max("sig").alias("sig")))
-    sigs = reps.select("rep", "sig")
-
-    nodes = _crowded(scratch, reps.select("rep", "keys").mapInArrow(_roots, "node long, rep long"))
-    large = nodes.where(F.col("members") > NODE).select("node", "rep")
-    live = _in_order(nodes.where(F.col("members") <= NODE).join(sigs, "rep").select("node", "rep", F.col("rep").alias("label"), "sig")).mapInArrow(_live, "node long, rep long")
-    nodes = _crowded(scratch, live.union(large))
-    need = nodes.select(F.col("rep").alias("id")).distinct()
-    full = scratch.keep(slim.join(need, "id", "left_semi").mapInArrow(_words, "rep long, words binary"))
-
-    edges = scratch.keep(_stars(nodes, sigs, full))
+    tokens = reps.select("rep", "keys", "sig")
+    pending, final = reps.select("rep", "keys").mapInArrow(_roots, MEMBER), None
     for level in range(DEPTH + 1):
-        labels = components(spark, edges, scratch)
-        mixed = _mixed(scratch, nodes, labels)
-        small = mixed.where(F.col("members") <= NODE)
-        more = _compare(small.select("node", "rep", "label"), sigs, full)
-        big = mixed.where(F.col("members") > NODE).select("node", "rep", "label", "members")
-        crowd = big.agg(F.count("*")).first()[0]
-        if not crowd:
-            edges = scratch.keep(edges.union(more))
+        nodes = _crowded(scratch, pending)
+        small = nodes.where(F.col("members") <= NODE).select("node", "rep", "tree").join(tokens, "rep").withColumn("label", F.col("rep"))
+        ready = _in_order(small.select("node", "rep", "tree", "label", "keys", "sig")).mapInArrow(_live, MEMBER)
+        large = nodes.where(F.col("members") > NODE)
+        dense = _dense(scratch, large, tokens) if level < DEPTH else large.select("node").distinct()
+        ready = ready.union(large.join(dense, "node", "left_semi").select("node", "rep", "tree"))
+        final = ready if final is None else final.union(ready)
+        sparse = large.join(dense, "node", "left_anti").select("node", "rep", "tree")
+        if level == DEPTH or sparse.isEmpty():
             break
-        if level == DEPTH:
-            edges = scratch.keep(edges.union(more).union(_compare(_block_pairs(big), sigs, full)))
-            break
-        nodes = _crowded(scratch, big.join(sigs, "rep").select("node", "rep", "sig").mapInArrow(_deeper(level + 1), "node long, rep long"))
-        edges = scratch.keep(edges.union(more).union(_stars(nodes, sigs, full)))
+        pending = sparse.join(tokens, "rep").select("node", "rep", "tree", "sig").mapInArrow(_deeper(level + 1), MEMBER)
+    nodes = _crowded(scratch, final)
+    scratch.sweep()
+    need = nodes.select(F.col("rep").alias("id")).distinct()
+    full = scratch.keep(slim.join(need, "id", "left_semi").mapInArrow(_words, "rep long, words binary"))
+    edges = scratch.keep(_stars(nodes, tokens, full))
+    scratch.sweep()
+    mixed = _mixed(scratch, nodes, components(spark, edges, scratch))
+    groups = mixed.where(F.col("members") <= NODE).select("node", "rep", "tree", "label").union(_blocks(scratch, mixed.where(F.col("members") > NODE)))
+    edges = scratch.keep(edges.union(_compare(scratch.keep(groups), tokens, full)))
+    scratch.sweep()
     roots = components(spark, edges, scratch)
     found = scratch.keep(reps.select("f1", "f2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("root", "rep").alias("root")))
     own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("root")), F.col("id")))
@@ -300,41 +310,67 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowded(scratch: Scratch, members: DataFrame) -> DataFrame:
-    """(node, rep, first, members) of the nodes with several members; first is the smallest."""
+    """(node, rep, tree, first, members) of the nodes with several members; first is one of them, drawn by a hash."""
     members = scratch.keep(members)
-    counts = scratch.keep(members.groupBy("node").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("members")).where("first < last").drop("last"))
-    return scratch.keep(members.join(counts, "node"))
+    draw = F.struct(F.xxhash64("node", "rep"), "rep")
+    counts = members.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("members")).where("low < high").select("node", "members")
+    some = scratch.keep(members.join(scratch.keep(counts), "node"))
+    first = scratch.keep(some.groupBy("node").agg(F.min(draw).alias("d")).select("node", F.col("d.rep").alias("first")))
+    return scratch.keep(some.join(first, "node"))
+
+
+def _dense(scratch: Scratch, large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The large nodes that branching would not take apart: their members agree with one of them in DENSE of the tokens on average."""
+    pairs = large.join(tokens.select("rep", F.col("sig").alias("x")), "rep").join(tokens.select(F.col("rep").alias("first"), F.col("sig").alias("y")), "first")
+    agree = pairs.select("node", "x", "y").mapInArrow(_shares, "node long, share double")
+    return scratch.keep(agree.groupBy("node").agg(F.avg("share").alias("share")).where(F.col("share") >= DENSE).select("node"))
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((x == y).mean(axis=1))], names=["node", "share"])
 
 
 def _mixed(scratch: Scratch, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, rep, label, members) of the nodes that still hold several groups; two lone members were compared by the star already."""
-    named = scratch.keep(nodes.where("members > 2").select("node", "rep").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("label")))
+    """(node, rep, tree, label, members) of the nodes that still hold several groups; two lone members were compared by the star already."""
+    named = nodes.where("members > 2").select("node", "rep", "tree").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    named = scratch.keep(named.select("node", "rep", "tree", F.coalesce("root", "rep").alias("label")))
     counts = scratch.keep(named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).where("x < y").drop("x", "y"))
     return scratch.keep(named.join(counts, "node"))
 
 
-def _stars(nodes: DataFrame, sigs: DataFrame, full: DataFrame) -> DataFrame:
-    """Links (a, b) of each node's smallest member with the others."""
+def _stars(nodes: DataFrame, tokens: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) of each node's first member with the others."""
     pairs = nodes.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
+    pairs = pairs.join(tokens.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").join(tokens.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
     pairs = pairs.select("a", "b", "x", "y").mapInArrow(_agree_pairs, "a long, b long")
     pairs = pairs.join(full.select(F.col("rep").alias("b"), F.col("words").alias("y")), "b").join(full.select(F.col("rep").alias("a"), F.col("words").alias("x")), "a")
     return pairs.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
 
 
-def _compare(groups: DataFrame, sigs: DataFrame, full: DataFrame) -> DataFrame:
-    """Links (a, b) between the labels of each group of (node, rep, label), all members compared. First by tokens, then in full."""
-    live = _in_order(groups.join(sigs, "rep").select("node", "rep", "label", "sig")).mapInArrow(_live, "node long, rep long")
-    rest = groups.join(live, ["node", "rep"], "left_semi").join(sigs, "rep").join(full, "rep")
-    return _in_order(rest.select("node", "rep", "label", "sig", "words")).mapInArrow(_exhaust, "a long, b long")
+def _compare(groups: DataFrame, tokens: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) between the labels of each group of (node, rep, tree, label), all members compared. First by tokens, then in full."""
+    named = groups.join(tokens, "rep").select("node", "rep", "tree", "label", "keys", "sig")
+    live = _in_order(named).mapInArrow(_live, MEMBER).select("node", "rep")
+    rest = groups.join(live, ["node", "rep"], "left_semi").join(tokens, "rep").join(full, "rep")
+    return _in_order(rest.select("node", "rep", "tree", "label", "keys", "sig", "words")).mapInArrow(_exhaust, "a long, b long")
 
 
-def _block_pairs(big: DataFrame) -> DataFrame:
-    """Groups of two blocks each, which together hold every pair of a large node's members."""
-    blocks = F.ceil(F.col("members") / (NODE // 2)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = big.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "label")
+def _blocks(scratch: Scratch, big: DataFrame) -> DataFrame:
+    """Groups of bounded size that together hold every pair of a large node's members but those within its largest label.
+
+    The members outside that label are cut into blocks, and so are all members; each two blocks are a group.
+    """
+    sizes = big.groupBy("node", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).select("node", F.col("m.label").alias("main"), F.ceil(F.col("all") / (NODE // 2)).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.n")) / (NODE // 2)).cast("int").alias("rest"))
+    big = big.join(scratch.keep(main), "node").select("node", "rep", "tree", "label", "main", "blocks", "rest")
+    of = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    left = big.where("label <> main").withColumn("l", of(F.col("rest"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = big.withColumn("r", of(F.col("blocks"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)))
+    both = left.select("node", "rep", "tree", "label", "l", "r").union(right.select("node", "rep", "tree", "label", "l", "r"))
+    return both.select(F.xxhash64("node", "l", "r").alias("node"), "rep", "tree", "label").distinct()
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
