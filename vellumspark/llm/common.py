@@ -86,4 +86,5 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
         last = stamp
     else:
         raise RuntimeError("connected components did not settle")
-    return scratch.keep(cur.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root"))
+    out = cur.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return scratch.keep(out.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html, neardup, quality, sharding, topk
+from . import bpe, chats, decontamination, html, linedup, neardup, quality, sharding, tokencounts, topk
 
 
 def queries() -> dict:
@@ -12,13 +12,16 @@ def queries() -> dict:
         "op3_top_k": topk.op3_top_k,
         "op4_quality": quality.op4_quality,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op6_line_dedup": linedup.op6_line_dedup,
         "op7_bpe": bpe.op7_bpe,
         "op8_html": html.op8_html,
+        "op9_chat_format": chats.op9_chat_format,
+        "op10_token_counts": tokencounts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3, "op5_decontamination": OP5}
+    return {"op3_top_k": OP3, "op5_decontamination": OP5, "op9_chat_format": OP9}
 
 
 #: Words, windows and hits by arrays; windows are compared as text with a separator that no word holds.
@@ -51,3 +54,13 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP9 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS n, list(struct_pack(r := role, x := text) ORDER BY turn) AS l,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM t GROUP BY conv_id
+), u AS (SELECT min(conv_id) AS conv_id, any_value(n) AS n, l, any_value(text) AS text FROM c GROUP BY l
+), p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM u))
+SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns, text FROM u WHERE l NOT IN (SELECT l FROM p)
+"""
