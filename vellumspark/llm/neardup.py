@@ -4,7 +4,7 @@ A document's set is reduced to minwise tokens. Each tree branches its documents
 the token fall into one node. Small nodes are compared exhaustively, large ones branch again by tokens not used above, and
 enough trees are grown that a pair at the similarity bound misses all of them with probability below 1 - RECALL.
 
-Links only have to connect groups, so a node first compares its members with one of them, and only nodes that still hold
+Links only have to connect groups, so a node first compares its members with one or a few of them, and only nodes that still hold
 several groups are compared further; a large group of near copies costs as many comparisons as it has members. Links are
 always confirmed on full sets. Exact copies of a set are one node of the graph from the start.
 """
@@ -29,8 +29,12 @@ RECALL = 1 - 1e-7
 TOKENS, AGREE = 64, 29
 #: Members of a node that one task compares.
 NODE = 256
+#: Members of a large node are compared in blocks of this size, two in a task.
+BLOCK = 512
 #: Times that a large node branches; what is still large then is compared block by block.
 DEPTH = 2
+#: Members of a large node that are compared with all its others at first.
+LEADERS = 6
 #: Mean agreement from which a large node is compared block by block at once, as its children would be about as large.
 DENSE = 0.3
 MEMBER = "node long, rep long, tree int"
@@ -279,7 +283,7 @@ def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
         ready = _in_order(small.select("node", "rep", "tree", "label", "keys", "sig")).mapInArrow(_live, MEMBER)
         large = nodes.where(F.col("members") > NODE)
         dense = _dense(scratch, large, tokens) if level < DEPTH else large.select("node").distinct()
-        ready = ready.union(large.join(dense, "node", "left_semi").select("node", "rep", "tree"))
+        ready = ready.union(_clusters(spark, scratch, large.join(dense, "node", "left_semi")))
         final = ready if final is None else final.union(ready)
         sparse = large.join(dense, "node", "left_anti").select("node", "rep", "tree")
         if level == DEPTH or sparse.isEmpty():
@@ -289,7 +293,7 @@ def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     scratch.sweep()
     need = nodes.select(F.col("rep").alias("id")).distinct()
     full = scratch.keep(slim.join(need, "id", "left_semi").mapInArrow(_words, "rep long, words binary"))
-    edges = scratch.keep(_stars(nodes, tokens, full))
+    edges = scratch.keep(_stars(_leaders(scratch, nodes), tokens, full))
     scratch.sweep()
     mixed = _mixed(scratch, nodes, components(spark, edges, scratch))
     groups = mixed.where(F.col("members") <= NODE).select("node", "rep", "tree", "label").union(_blocks(scratch, mixed.where(F.col("members") > NODE)))
@@ -310,13 +314,27 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowded(scratch: Scratch, members: DataFrame) -> DataFrame:
-    """(node, rep, tree, first, members) of the nodes with several members; first is one of them, drawn by a hash."""
+    """(node, rep, tree, first, members) of the nodes with several members; first is the smallest."""
     members = scratch.keep(members)
-    draw = F.struct(F.xxhash64("node", "rep"), "rep")
-    counts = members.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("members")).where("low < high").select("node", "members")
-    some = scratch.keep(members.join(scratch.keep(counts), "node"))
-    first = scratch.keep(some.groupBy("node").agg(F.min(draw).alias("d")).select("node", F.col("d.rep").alias("first")))
-    return scratch.keep(some.join(first, "node"))
+    counts = members.groupBy("node").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("members")).where("first < last").drop("last")
+    return scratch.keep(members.join(scratch.keep(counts), "node"))
+
+
+def _clusters(spark: SparkSession, scratch: Scratch, dense: DataFrame) -> DataFrame:
+    """(node, rep, tree) with one node for all dense nodes that share members: trees cut a large group of near copies in about the same
+    way each, so its pairs are compared once, in the first tree, instead of in every tree."""
+    roots = components(spark, dense.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")), scratch)
+    return roots.select(F.xxhash64(F.lit("cluster"), "root").alias("node"), F.col("node").alias("rep"), F.lit(0).cast("int").alias("tree"))
+
+
+def _leaders(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """(rep, first): each member with the smallest of its node, in a large node with LEADERS others too, drawn by a hash."""
+    pairs = nodes.where("rep <> first").select("rep", "first")
+    large = nodes.where(F.col("members") > NODE)
+    drawn = large.select("node", "rep").groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("g")).agg(F.min(F.xxhash64("rep", "node")).alias("h"))
+    others = large.select("node", "rep", F.xxhash64("rep", "node").alias("h")).join(scratch.keep(drawn.select("node", "h")), ["node", "h"]).select("node", F.col("rep").alias("first"))
+    more = large.select("node", "rep").join(scratch.keep(others), "node").where("rep <> first").select("rep", "first")
+    return pairs.union(more)
 
 
 def _dense(scratch: Scratch, large: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -341,9 +359,9 @@ def _mixed(scratch: Scratch, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return scratch.keep(named.join(counts, "node"))
 
 
-def _stars(nodes: DataFrame, tokens: DataFrame, full: DataFrame) -> DataFrame:
-    """Links (a, b) of each node's first member with the others."""
-    pairs = nodes.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+def _stars(leaders: DataFrame, tokens: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) of members with their leaders."""
+    pairs = leaders.select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
     pairs = pairs.join(tokens.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").join(tokens.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a")
     pairs = pairs.select("a", "b", "x", "y").mapInArrow(_agree_pairs, "a long, b long")
     pairs = pairs.join(full.select(F.col("rep").alias("b"), F.col("words").alias("y")), "b").join(full.select(F.col("rep").alias("a"), F.col("words").alias("x")), "a")
@@ -364,7 +382,7 @@ def _blocks(scratch: Scratch, big: DataFrame) -> DataFrame:
     The members outside that label are cut into blocks, and so are all members; each two blocks are a group.
     """
     sizes = big.groupBy("node", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).select("node", F.col("m.label").alias("main"), F.ceil(F.col("all") / (NODE // 2)).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.n")) / (NODE // 2)).cast("int").alias("rest"))
+    main = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).select("node", F.col("m.label").alias("main"), F.ceil(F.col("all") / (BLOCK)).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.n")) / (BLOCK)).cast("int").alias("rest"))
     big = big.join(scratch.keep(main), "node").select("node", "rep", "tree", "label", "main", "blocks", "rest")
     of = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     left = big.where("label <> main").withColumn("l", of(F.col("rest"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
