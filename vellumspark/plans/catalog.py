@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from . import q_calendar, q_relate, q_search, q_stream
+
+MODULES = (q_search, q_relate, q_calendar, q_stream)
 
 
 def queries() -> dict:
