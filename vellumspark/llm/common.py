@@ -67,23 +67,22 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
     def norm(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
+    def settled(e: DataFrame) -> bool:
+        """Whether every node has one smaller neighbour, which has none."""
+        return e.groupBy("a").count().where("count > 1").isEmpty() and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
     cur = scratch.keep(norm(edges.select("a", "b")))
-    last = None
     for _ in range(rounds):
+        if settled(cur):
+            break
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = norm(large)
+        large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(low2, "a")
-        small = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
+        small = large.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
         nxt = scratch.keep(norm(small))
-        stamp = nxt.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24)).alias("s")).first()
         scratch.drop(cur)
         cur = nxt
-        if stamp == last:
-            break
-        last = stamp
     else:
         raise RuntimeError("connected components did not settle")
     out = cur.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")

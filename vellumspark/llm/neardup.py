@@ -276,20 +276,20 @@ def link(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     sets = rows.where("n > 0 AND id IS NOT NULL")
     reps = scratch.keep(sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("keys").alias("keys"), F.max("sig").alias("sig")))
     tokens = reps.select("rep", "keys", "sig")
-    pending, final = reps.select("rep", "keys").mapInArrow(_roots, MEMBER), None
+    pending, final, together = reps.select("rep", "keys").mapInArrow(_roots, MEMBER), None, None
     for level in range(DEPTH + 1):
         nodes = _crowded(scratch, pending)
         small = nodes.where(F.col("members") <= NODE).select("node", "rep", "tree").join(tokens, "rep").withColumn("label", F.col("rep"))
         ready = _in_order(small.select("node", "rep", "tree", "label", "keys", "sig")).mapInArrow(_live, MEMBER)
         large = nodes.where(F.col("members") > NODE)
         dense = _dense(scratch, large, tokens) if level < DEPTH else large.select("node").distinct()
-        ready = ready.union(_clusters(spark, scratch, large.join(dense, "node", "left_semi")))
-        final = ready if final is None else final.union(ready)
+        thick = large.join(dense, "node", "left_semi").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+        final, together = (ready, thick) if final is None else (final.union(ready), together.union(thick))
         sparse = large.join(dense, "node", "left_anti").select("node", "rep", "tree")
         if level == DEPTH or sparse.isEmpty():
             break
         pending = sparse.join(tokens, "rep").select("node", "rep", "tree", "sig").mapInArrow(_deeper(level + 1), MEMBER)
-    nodes = _crowded(scratch, final)
+    nodes = _crowded(scratch, final.union(_clusters(components(spark, together, scratch))))
     scratch.sweep()
     need = nodes.select(F.col("rep").alias("id")).distinct()
     full = scratch.keep(slim.join(need, "id", "left_semi").mapInArrow(_words, "rep long, words binary"))
@@ -320,10 +320,9 @@ def _crowded(scratch: Scratch, members: DataFrame) -> DataFrame:
     return scratch.keep(members.join(scratch.keep(counts), "node"))
 
 
-def _clusters(spark: SparkSession, scratch: Scratch, dense: DataFrame) -> DataFrame:
+def _clusters(roots: DataFrame) -> DataFrame:
     """(node, rep, tree) with one node for all dense nodes that share members: trees cut a large group of near copies in about the same
     way each, so its pairs are compared once, in the first tree, instead of in every tree."""
-    roots = components(spark, dense.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")), scratch)
     return roots.select(F.xxhash64(F.lit("cluster"), "root").alias("node"), F.col("node").alias("rep"), F.lit(0).cast("int").alias("tree"))
 
 
