@@ -76,3 +76,27 @@ def isbn(c: Column | str) -> Column:
     parts = F.transform(F.split(s, ""), lambda x: F.when(x == "X", 10).when(x.rlike("[0-9]"), F.ascii(x) - 48).otherwise(0))
     ten = F.aggregate(F.transform(parts, lambda d, i: d * (10 - i)), F.lit(0), lambda a, x: a + x) % 11 == 0
     return (s.rlike(r"^\d{9}[\dX]$") & ten) | (s.rlike(r"^97[89]\d{10}$") & ean(s))
+
+
+def ups(c: Column | str) -> Column:
+    """Parcel numbers 1Z and sixteen signs: letters count as their place in the alphabet plus two, modulo ten; every second sign doubles."""
+    s = compact(c)
+    value = lambda x: F.when(x.rlike("[0-9]"), F.ascii(x) - 48).otherwise((F.ascii(x) - 63) % 10)
+    total = F.aggregate(F.transform(F.split(F.substring(s, 3, 15), ""), lambda x, i: value(x) * F.when(i % 2 == 1, 2).otherwise(1)), F.lit(0), lambda a, x: a + x)
+    return s.rlike("^1Z[0-9A-Z]{15}[0-9]$") & (((10 - total % 10) % 10).cast("string") == F.substring(s, 18, 1))
+
+
+def s10(c: Column | str) -> Column:
+    """Postal item numbers, two letters, nine digits, two letters: weighted sum modulo eleven, 10 standing for 0 and 11 for 5."""
+    s = compact(c)
+    weights = F.array(*[F.lit(w) for w in (8, 6, 4, 2, 3, 5, 9, 7)])
+    total = F.aggregate(F.zip_with(digits(F.substring(s, 3, 8)), weights, lambda d, w: d * w), F.lit(0), lambda a, x: a + x)
+    check = 11 - total % 11
+    want = F.when(check == 10, 0).when(check == 11, 5).otherwise(check)
+    return s.rlike("^[A-Z]{2}[0-9]{9}[A-Z]{2}$") & (want.cast("string") == F.substring(s, 11, 1))
+
+
+def carrier(c: Column | str) -> Column:
+    """What a parcel number's form and check digit say of its carrier; null where nothing."""
+    s = compact(c)
+    return F.when(ups(c), "ups").when(s10(c), "post").when(s.rlike(r"^\d{12}$"), "express").when(s.rlike(r"^JJD\d{12,}$"), "parcel")

@@ -122,3 +122,50 @@ def language(c: Column | str) -> Column:
     rows = [vote(k) for k in sorted(STOP_WORDS)]
     best = F.reduce(F.array(*rows), rows[0], lambda a, b: F.when(b["hits"] > a["hits"], b).otherwise(a))
     return F.struct(best["lang"].alias("lang"), best["hits"].alias("hits"), F.size(words).alias("words"))
+
+
+def snippet(c: Column | str, terms: list[str], window: int = 160) -> Column:
+    """An excerpt around the first word that begins with a term, its matches in <mark>; the text's beginning where there is none."""
+    c = F.col(c) if isinstance(c, str) else c
+    any_term = "(?i)\\b(" + "|".join(terms) + ")\\w*"
+    before = F.regexp_extract(c, f"(?s)^(.*?)(?={any_term})", 1)
+    at = F.when(c.rlike(any_term), F.greatest(F.char_length(before) - window // 2, F.lit(0))).otherwise(F.lit(0))
+    return F.regexp_replace(F.substring(c, at + 1, F.lit(window)), f"({any_term})", "<mark>$1</mark>")
+
+
+def front_matter(c: Column | str) -> Column:
+    """map(key, value) of a leading block between two lines of three hyphens; null where there is none."""
+    block = F.regexp_extract(c, r"(?s)^---\n(.*?)\n---(?:\n|$)", 1)
+    pairs = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\s*[A-Za-z_][\w-]*\s*:"))
+    entries = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
+    return F.when(block != "", F.map_from_entries(entries))
+
+
+def unwrap(c: Column | str) -> Column:
+    """The address that a redirect carries in its url, u, q, to or target parameter, or the address itself."""
+    c = F.col(c) if isinstance(c, str) else c
+    inner = F.regexp_extract(c, r"[?&](?:url|u|q|to|target)=(https?(?:%3A|:)[^&#]*)", 1)
+    return F.when(inner != "", F.url_decode(inner)).otherwise(c)
+
+
+def markdown_plain(c: Column | str) -> Column:
+    """Text without its markdown: fences, headings, quotes, bullets, images, links, emphasis and code marks."""
+    out = F.col(c) if isinstance(c, str) else c
+    for pattern, to in ((r"(?m)^```.*$", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""), (r"(?m)^[ \t]{0,3}>[ \t]?", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(\*\*|__)(.+?)\1", "$2"), (r"[*_`]", ""), (r"\n{3,}", "\n\n")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.trim(out)
+
+
+def page_list(c: Column | str, total: int) -> Column:
+    """Pages that a text like "1-3,5,8-" names, in order, each once: an open end reaches to `total`; odd, even, last and all are words."""
+    def part(x: Column) -> Column:
+        x = F.lower(F.trim(x))
+        a = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(x, r"^(\d*)", 1), F.lit("")), F.lit("99999")).cast("int"), F.lit(1))
+        b = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(x, r"-\s*(\d*)$", 1), F.lit("")), F.lit("99999")).cast("int"), F.lit(total))
+        every = F.sequence(F.lit(1), F.lit(total))
+        span = F.when(x.contains("-"), F.sequence(a, b)).otherwise(F.array(a))
+        named = F.when(x == "all", every).when(x == "odd", F.filter(every, lambda p: p % 2 == 1)).when(x == "even", F.filter(every, lambda p: p % 2 == 0)).when(x == "last", F.array(F.lit(total)))
+        return F.coalesce(named, span)
+
+    pages = F.flatten(F.transform(F.split(c, ","), part))
+    return F.array_distinct(F.filter(pages, lambda p: (p >= 1) & (p <= total)))
