@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, read
 
 N_SHARDS = 40
 OVERHEAD = 16
-#: Packing units a shard: groups at or above 1/UNITS of a mean shard are packed one by one, and the groups
-#: below it travel in as many bundles, chosen by a hash of the group. The driver packs 2 * UNITS * shards items at most.
-UNITS = 200
-#: Rows of a shard are numbered in this many cells at least, one more for each CELL_ROWS rows.
+#: Rows of one shard, and groups of one size, are numbered in this many cells at least, one more for each CELL_ROWS rows of a shard.
 CELLS, CELL_ROWS = 64, 200_000
 
 
@@ -63,27 +62,39 @@ class Bins:
         return b
 
 
-def best_fit(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item. `sizes` descend; an item over `capacity` gets a bin of its own. None if more than `most` bins open."""
+def best_fit(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """For each (size, count) of the descending `sizes`, the runs (bin, how many) that take its items one after another.
+
+    Items of one size are alike, and the tightest bin stays the tightest until it can't hold another, so it takes as many as fit
+    at once. An item over `capacity` gets a bin of its own. None if more than `most` bins open.
+    """
     bins, opened, out = Bins(), 0, []
-    for size in sizes:
-        found = bins.take(size)
-        if found is None:
-            if opened == most:
-                return None
-            found, opened = (max(capacity, size), opened), opened + 1
-        out.append(found[1])
-        bins.insert((found[0] - size, found[1]))
+    for size, count in sizes:
+        runs = []
+        while count:
+            found = bins.take(size)
+            if found is None:
+                if opened == most:
+                    return None
+                found, opened = (max(capacity, size), opened), opened + 1
+            room, b = found
+            n = min(count, room // size)
+            count -= n
+            runs.append((b, n))
+            bins.insert((room - n * size, b))
+        out.append(runs)
     return out
 
 
-def pack_evenly(sizes: list[int], n: int, precision: float = 2e-5) -> list[int]:
-    """The bin (0 to n - 1) of each item of the descending `sizes`, by best fit at the least capacity that needs n bins at most."""
-    own, rest, left = 0, sum(sizes), n
-    while own < len(sizes) and left > 1 and sizes[own] * left > rest:  # larger than the mean of what remains: a bin of its own
-        rest, left, own = rest - sizes[own], left - 1, own + 1
-    tail = sizes[own:]
-    low = max(-(-rest // left), tail[0] if tail else 0)
+def pack_evenly(sizes: list[tuple[int, int]], n: int, precision: float = 2e-5) -> list[list[tuple[int, int]]]:
+    """The runs (bin from 0 to n - 1, how many) of each (size, count) of the descending `sizes`, by best fit at the least capacity that needs n bins at most."""
+    rest, left, own, tail = sum(s * c for s, c in sizes), n, [], list(sizes)
+    while tail and left > 1 and tail[0][0] * left > rest:  # larger than the mean of what remains: a bin of its own
+        size, count = tail[0]
+        own.append((size, n - left))
+        rest, left = rest - size, left - 1
+        tail = ([(size, count - 1)] if count > 1 else []) + tail[1:]
+    low = max(-(-rest // left), tail[0][0] if tail else 0)
     high, best = low, best_fit(tail, low, left)
     while best is None:
         high += max(1, high // 50)
@@ -92,7 +103,12 @@ def pack_evenly(sizes: list[int], n: int, precision: float = 2e-5) -> list[int]:
         mid = (low + high) // 2
         found = best_fit(tail, mid, left)
         low, high, best = (low, mid, found) if found is not None else (mid, high, best)
-    return [*range(own), *(b + own for b in best)]
+    of: dict[int, list[tuple[int, int]]] = {}
+    for size, b in own:
+        of.setdefault(size, []).append((b, 1))
+    for (size, _), runs in zip(tail, best, strict=True):
+        of.setdefault(size, []).extend((b + len(own), c) for b, c in runs)
+    return [of[size] for size, _ in sizes]
 
 
 def assign(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +117,9 @@ def assign(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS, id_co
     Equal texts stay in one shard, as a group. Null texts form one group of size 16 a row (text_crc32 null), empty
     texts another (text_crc32 0). Null ids and repeated rows get slots of their own; ties among them are free.
     An empty table gives no rows. Other columns are not read. A group above the mean shard gets a shard alone.
-    Texts are read once; a narrow table of ids, sizes and hashes is all that moves.
+    Every group is packed by best fit. The driver packs distinct sizes with their counts; as k distinct sizes add up to k * k / 2
+    bytes or more, they are fewer than the square root of twice the corpus (14 million at 100 TB). Texts are read once; a narrow
+    table of ids, sizes and hashes is all that moves.
     """
     scratch = Scratch(spark)
     t = F.col(text_col)
@@ -111,42 +129,37 @@ def assign(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS, id_co
             (F.coalesce(F.octet_length(t), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
             F.crc32(F.encode(t, "UTF-8")).alias("crc"),
             F.when(t.isNull(), F.lit(0)).otherwise(F.xxhash64(t, F.octet_length(t))).alias("g1"),
-        )
-    )
-    key = F.struct("g1", "crc", F.col("size"))
-    groups = scratch.keep(slim.groupBy(key.alias("g")).agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    bundles = n_shards * UNITS
-    least = max(1, total // bundles)
-    bundle = F.pmod(F.xxhash64("g.g1", "g.crc", "g.size"), F.lit(bundles))
-    large = groups.where(F.col("bytes") >= least)  # `bundles` rows at most, as they add up to `total`
-    small = groups.where(F.col("bytes") < least).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    items = [(r.bytes, 0, (r.g.g1, r.g.crc if r.g.crc is not None else -1, r.g["size"])) for r in large.collect()] + [(r.bytes, 1, (r.bundle,)) for r in small.collect()]
-    items.sort(key=lambda x: (-x[0], x[1:]))
-    bins = pack_evenly([x[0] for x in items], n_shards) if items else []
-    of_group = [(*k, b) for (_, kind, k), b in zip(items, bins, strict=True) if kind == 0]
-    of_bundle = [(*k, b) for (_, kind, k), b in zip(items, bins, strict=True) if kind == 1]
-    lone = F.broadcast(spark.createDataFrame(of_group, "l1 long, lc long, ls long, ln int"))
-    rest = F.broadcast(spark.createDataFrame(of_bundle, "bundle long, bn int"))
-    placed = (
-        slim.join(lone, (F.col("g1") == F.col("l1")) & (F.coalesce("crc", F.lit(-1)) == F.col("lc")) & (F.col("size") == F.col("ls")), "left")
-        .withColumn("bundle", F.pmod(F.xxhash64("g1", "crc", "size"), F.lit(bundles)))
-        .join(rest, "bundle", "left")
-        .select("id", "size", "crc", "g1", F.coalesce("ln", "bn").alias("shard"))
+        ).withColumn("c1", F.coalesce("crc", F.lit(-1)))
     )
-    return _slots(slim, placed, n_shards)
-
-
-def _slots(slim: DataFrame, placed: DataFrame, n_shards: int) -> DataFrame:
-    """Gapless slots without one task per shard: a row's rank in its cell, after the sizes of the shard's earlier cells."""
+    key = ["g1", "c1", "size"]
+    groups = scratch.keep(slim.groupBy(*key).agg(F.sum("size").alias("bytes")))
+    counts = groups.groupBy("bytes").count().toArrow()
+    sizes = sorted(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True), reverse=True)
+    runs = pack_evenly(sizes, n_shards) if sizes else []
+    rows = []
+    for (size, _), rs in zip(sizes, runs, strict=True):
+        at = 0
+        for b, n in rs:
+            rows.append((size, at, at + n, b))
+            at += n
+    plan = spark.createDataFrame(pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("bytes", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("shard", pa.int32())))}))
+    plan = scratch.keep(plan.groupBy("bytes").agg(F.collect_list(F.struct("begin", "end", "shard")).alias("runs")))  # n_shards runs of a size at most
+    ranked = _ranked(groups, ["bytes"], F.pmod(F.xxhash64(*key), F.lit(CELLS)).cast("int"), key, "at")
+    mine = F.filter("runs", lambda r: (r["begin"] <= F.col("at")) & (F.col("at") < r["end"]))
+    placed = scratch.keep(ranked.join(plan, "bytes").select(*key, F.get(mine, F.lit(0))["shard"].alias("shard")))
+    rows = slim.join(placed, key).select("id", "size", "crc", "g1", "shard")
     cells = max(CELLS, -(-slim.count() // (CELL_ROWS * n_shards)))
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("id", "g1"), F.lit(cells)).cast("int"))
-    from pyspark.sql import Window as W
+    out = _ranked(scratch.keep(rows), ["shard"], F.pmod(F.xxhash64("id", "g1"), F.lit(cells)).cast("int"), ["id", "crc", "size"], "slot")
+    return out.select("id", "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"))
+
 
-    counts = placed.groupBy("shard", "cell").count()
-    before = counts.select("shard", "cell", (F.sum("count").over(W.partitionBy("shard").orderBy("cell")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("shard", "cell").orderBy("id", "crc", "size"))
-    return placed.withColumn("rank", rank).join(before, ["shard", "cell"]).select("id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
+def _ranked(df: DataFrame, by: list[str], cell: Column, order: list[str], out: str) -> DataFrame:
+    """`df` with `out`, gapless numbers from 0 among the rows of equal `by`, without one task for each: a row's rank in its cell, after the sizes of the earlier cells."""
+    df = df.withColumn("_cell", cell)
+    counts = df.groupBy(*by, "_cell").count()
+    before = counts.select(*by, "_cell", (F.sum("count").over(W.partitionBy(*by).orderBy("_cell")) - F.col("count")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy(*by, "_cell").orderBy(*order))
+    return df.withColumn("_rank", rank).join(before, [*by, "_cell"]).withColumn(out, F.col("_before") + F.col("_rank") - 1).drop("_cell", "_rank", "_before")
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
