@@ -3,7 +3,7 @@
 Each turn has a hash of its position, role and text; the rolling hash of a prefix is the exclusive or of its turns' hashes, twice
 64 bits. A conversation whose whole hash is the hash of a proper prefix of another is dropped by an anti-join, equal ones are
 kept once, and what stays is rendered. Positions and rolling hashes are found cell by cell of CELL turns, so that a
-conversation of any length is spread over tasks, and it is rendered in parts of CELL turns.
+conversation of any length is spread over tasks until its text is put together.
 """
 
 from __future__ import annotations
@@ -66,18 +66,24 @@ def maximal(spark: SparkSession, convs: DataFrame, scratch: Scratch, conv_col: s
 
 
 def render(spark: SparkSession, convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, part, n_turns, text): the conversations that stay, each turn as <|im_start|>role, newline, text, <|im_end|>, newline.
+    """(conv, n_turns, text): the conversations that stay, each turn as <|im_start|>role, newline, text, <|im_end|>, newline.
 
-    A conversation of up to CELL turns is one row with part 0; a longer one has a row for each CELL turns, whose texts follow each
-    other. Null roles and texts are rendered as ''.
+    Turns are put together cell by cell of CELL turns and then the cells, so that a task holds texts no longer than the rows that come
+    out. Null roles and texts are rendered as ''.
     """
     scratch = Scratch(spark)
     stay = maximal(spark, convs, scratch, conv_col, turn_col, role_col, text_col)
     said = _turns(convs, conv_col, turn_col, role_col, text_col).dropDuplicates(["conv", "turn", "c1", "c2"])
     piece = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
-    full = said.join(stay, ["conv", "turn", "c1", "c2"]).select("conv", F.floor(F.col("pos") / CELL).alias("part"), "n", F.struct("pos", piece.alias("piece")).alias("p"))
-    groups = full.groupBy("conv", "part").agg(F.max("n").alias("n_turns"), F.array_sort(F.collect_list("p")).alias("ps"))
-    return groups.select("conv", "part", "n_turns", F.array_join(F.transform("ps", lambda p: p["piece"]), "").alias("text"))
+    full = said.join(stay, ["conv", "turn", "c1", "c2"]).select("conv", F.floor(F.col("pos") / CELL).alias("cell"), "n", F.col("pos").alias("at"), piece.alias("piece"))
+    cells = _joined(full.withColumn("n_turns", F.col("n")), ["conv", "cell"])
+    return _joined(cells.withColumnsRenamed({"cell": "at", "text": "piece"}), ["conv"])
+
+
+def _joined(df: DataFrame, by: list[str]) -> DataFrame:
+    """Per key: n_turns, and the pieces one after another in the order of `at`."""
+    groups = df.groupBy(*by).agg(F.max("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("ps"))
+    return groups.select(*by, "n_turns", F.array_join(F.col("ps.piece"), "").alias("text"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,5 +62,5 @@ WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE co
     string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM t GROUP BY conv_id
 ), u AS (SELECT min(conv_id) AS conv_id, any_value(n) AS n, l, any_value(text) AS text FROM c GROUP BY l
 ), p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM u))
-SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns, text FROM u WHERE l NOT IN (SELECT l FROM p)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, text FROM u WHERE l NOT IN (SELECT l FROM p)
 """
