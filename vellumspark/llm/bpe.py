@@ -1,4 +1,5 @@
-"""BPE by a tokenization automaton: merge gadgets give the arcs, words are encoded by table, decoding emits arc labels."""
+"""BPE by a tokenization automaton: merges are compiled gadget by gadget into a deterministic automaton over bytes, words are encoded by
+table-driven transitions, decoding emits arc labels."""
 
 from __future__ import annotations
 
@@ -44,15 +45,23 @@ class Memo(dict):
 
 
 class Automaton:
-    """A deterministic automaton over tokens: from the last token, an arc leads on for each token that may follow it.
-
-    It is built merge by merge. Before any merge every base symbol may follow every other. The gadget of merge number r,
-    (u, v) -> w, takes the arc u -> v away and adds the state w, which is entered wherever u could be entered then and left
-    wherever v could be left then; it adds nothing where the arc u -> v was gone already. So whether the final automaton has an
-    arc a -> b follows from the gadgets of a and b from the latest back to base symbols. An arc is put in the table when it is
-    first asked for. Every prefix of a word has exactly one path through the automaton.
+    """A deterministic automaton over the bytes of a word, and one over tokens from which it is compiled.
+
+    The automaton over tokens is built merge by merge. Before any merge every base symbol may follow every other. The gadget of
+    merge number r, (u, v) -> w, takes the arc u -> v away and adds the state w, which is entered wherever u could be entered then
+    and left wherever v could be left then; it adds nothing where the arc u -> v was gone already. `_arc` tells from the gadgets
+    whether the final automaton leads from one token to another; every prefix of a word has exactly one path through it.
+
+    So the last token of each prefix is a function of what was read, and of a prefix only two things matter later: the longest end of
+    it that may still become part of a token, and the last tokens of the prefixes that end there. These are the states over bytes.
+    `rows` is their table, (state, symbol) -> state, and `last` the arc label of each, its prefix's last token. The last byte of a
+    word is a symbol of its own. Rows for all words of the vocabulary are compiled at once; one that is missing is compiled when a
+    text first needs it. Encoding a word is one table look-up a byte, with no search, and reading labels back from its end.
     """
 
+    #: Symbols: bytes, and bytes at the end of a word.
+    SYMBOLS = 512
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -76,7 +85,25 @@ class Automaton:
                 continue
             self.merge[u, v] = r
             self.rank[w], self.left[w], self.right[w] = r, u, v
-        self.trie = self._trie({t: i for t, i in self.vocab.items() if i not in dead})
+        cut = len(self.suffix)
+        self.inner, self.final = {}, {}
+        self.open = {""}  # what a token may begin with before its end is known
+        for text, i in self.vocab.items():
+            if i in dead:
+                continue
+            ended = bool(cut) and text.endswith(self.suffix) and len(text) > cut
+            body = text[:-cut] if ended else text
+            (self.final if ended else self.inner)[body] = i
+            self.open.update(body[:k] for k in range(1, len(body)))
+        self.bytes = byte_symbols()
+        self.states = [("", (-1,))]
+        self.number, self.last, self.rows = {self.states[0]: 0}, [-1], {}
+        of = {c: b for b, c in enumerate(self.bytes)}
+        for text, i in self.vocab.items():
+            if i not in dead:
+                ended = bool(cut) and text.endswith(self.suffix) and len(text) > cut
+                word = [of[c] for c in (text[:-cut] if ended else text) if c in of]
+                self._run(word[:-1] + [word[-1] + 256 * (ended or not cut)] if word else [])
 
     def _arc(self, a: int, b: int, limit: int) -> bool:
         """Whether b may follow a when the merges below `limit` have been built in."""
@@ -92,60 +119,65 @@ class Automaton:
             else:  # b was made last: it is entered as its left part was just after
                 limit, b = rb + 1, left[b]
 
-    def _trie(self, tokens: dict[str, int]) -> list[dict[str, list]]:
-        root: dict = {}
-        for text, i in tokens.items():
-            ended = bool(self.suffix) and text.endswith(self.suffix) and len(text) > len(self.suffix)
-            at = root
-            for c in text[: len(text) - len(self.suffix)] if ended else text:
-                at = at.setdefault(c, {})
-            at[1 if ended else 0] = i  # an int key: the token that ends here, at the end of a word or within it
-        return root
+    def _compile(self, state: int, symbol: int) -> int:
+        """The row of (state, symbol): the one token that may end the longer prefix, and what of it matters from there on."""
+        text, lasts = self.states[state]
+        end = symbol >= 256 and self.suffix
+        text += self.bytes[symbol % 256]
+        tokens = self.final if end else self.inner
+        for k in range(len(text)):  # the longest token first; lasts[j] is the last token of the prefix that ends j bytes before the new one
+            t = tokens.get(text[k:])
+            if t is not None:
+                before = lasts[len(text) - k - 1]
+                if before < 0 or self._arc(before, t, 1 << 60):
+                    break
+        else:
+            raise ValueError(f"the vocabulary has no token for {text[-1]!r}")
+        if symbol >= 256:
+            new = ("$", (t,))
+        else:
+            while text not in self.open:
+                text = text[1:]
+            new = (text, (t, *lasts)[: len(text) + 1])
+        to = self.number.get(new)
+        if to is None:
+            to = self.number[new] = len(self.states)
+            self.states.append(new)
+            self.last.append(t)
+        self.rows[state * self.SYMBOLS + symbol] = to
+        return to
+
+    def _run(self, symbols: list[int]) -> list[int]:
+        """The last token of each prefix."""
+        rows, last, state, out = self.rows, self.last, 0, []
+        for c in symbols:
+            to = rows.get(state * 512 + c)
+            state = self._compile(state, c) if to is None else to
+            out.append(last[state])
+        return out
 
     def start(self) -> None:
         """What a worker fills as it goes."""
-        self.arcs: dict[int, bool] = {}
         self.words = Memo(regex.compile(self.pattern).findall, self.path)
-        self.bytes = byte_symbols()
+        cut = len(self.suffix)
+        self.size = [len(t) - (cut if cut and t.endswith(self.suffix) and len(t) > cut else 0) for t in self.labels]
+        self.compiled = len(self.states)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def path(self, word: str) -> list[int]:
         """The tokens of one pre-split word."""
-        s = "".join([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")])
-        n, arcs, tokens, stack, dead = len(s), self.arcs, [], [], set()
-        i, a, steps = 0, -1, self._steps(s, 0, n)
-        while i < n:
-            while steps:  # the longest token first
-                t, j = steps.pop()
-                if j in dead:
-                    continue
-                if a >= 0:
-                    if (ok := arcs.get(a << 20 | t)) is None:
-                        if len(arcs) > 5 * MEMO:
-                            arcs.clear()
-                        ok = arcs[a << 20 | t] = self._arc(a, t, 1 << 60)
-                    if not ok:
-                        continue
-                tokens.append(t)
-                stack.append((i, steps))
-                i, a, steps = j, t, self._steps(s, j, n)
-                break
-            else:  # the one path of this prefix leads nowhere
-                dead.add(i)
-                i, steps = stack.pop()
-                tokens.pop()
-                a = tokens[-1] if tokens else -1
-        return tokens
-
-    def _steps(self, s: str, i: int, n: int) -> list[tuple[int, int]]:
-        """(token, end) of the tokens that start at i, the shortest first."""
-        out, at = [], self.trie
-        for j in range(i, n):
-            if (at := at.get(s[j])) is None:
-                break
-            if (t := at.get(1 if j == n - 1 and self.suffix else 0)) is not None:
-                out.append((t, j + 1))
-        return out
+        if len(self.states) > self.compiled + MEMO:  # forget rows that texts have asked for
+            for state in self.states[self.compiled :]:
+                del self.number[state]
+            del self.states[self.compiled :], self.last[self.compiled :]
+            self.rows = {k: to for k, to in self.rows.items() if to < self.compiled and k // self.SYMBOLS < self.compiled}
+        symbols = list(word.encode("utf-8", "surrogatepass"))
+        symbols[-1] += 256
+        lasts, i, tokens = self._run(symbols), len(symbols), []
+        while i:
+            tokens.append(lasts[i - 1])
+            i -= self.size[tokens[-1]]
+        return tokens[::-1]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text (little-endian, 32 bits)."""
@@ -172,7 +204,7 @@ class Automaton:
 def _local(shared) -> Automaton:
     """The worker's automaton; its tables last as long as the worker keeps the broadcast."""
     a = shared.value
-    if not hasattr(a, "arcs"):
+    if not hasattr(a, "words"):
         a.start()
     return a
 
