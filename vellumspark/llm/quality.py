@@ -120,7 +120,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, alpha: float = 1.0,
     for g, label in zip(rows, y, strict=True):
         counts[int(label)][g] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    xs = [ratio[g] / (np.sqrt((ratio[g] ** 2).sum()) + 1e-12) for g in rows]
+    length = [np.sqrt((ratio[g] ** 2).sum()) + 1e-12 for g in rows]
     # one dual variable for each row, the bias as one more feature of value 1; squared norms are 2 then
     w, b, dual = np.zeros(DIMS), 0.0, np.zeros(len(rows))
     sign = np.where(y > 0, 1.0, -1.0)
@@ -129,7 +129,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, alpha: float = 1.0,
     rand = np.random.default_rng(5)
     for _ in range(epochs):
         for i in rand.permutation(use):
-            g, x = rows[i], xs[i]
+            g = rows[i]
+            x = ratio[g] / length[i]
             gradient = sign[i] * (w[g] @ x + b) - 1
             new = min(max(dual[i] - gradient / 2, 0.0), upper[i])
             if (d := (new - dual[i]) * sign[i]) != 0:
@@ -184,9 +185,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
             made = pa.array([g(t).astype("<i4").tobytes() for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), made], names=["lid", "y", "g"])
 
-    found = texts.mapInArrow(grams, "lid string, y int, g binary").toArrow()
-    got = sorted({(i, y, g) for i, y, g in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True)}, key=lambda r: (_hash(r[0]), r))
-    model = fit([np.frombuffer(g, "<i4").astype(np.int64) for _, _, g in got], np.array([y for _, y, _ in got], int), 0.5 if share is None else share)
+    # an id may stand on several rows: one of them counts, whichever has the least indicators in byte order
+    found = texts.mapInArrow(grams, "lid string, y int, g binary").groupBy("lid").agg(F.min("y").alias("y"), F.min("g").alias("g")).orderBy(F.xxhash64("lid"), "lid").toArrow().combine_chunks()
+    g = found.column("g").combine_chunks() if found.num_rows else pa.array([], pa.binary())
+    cuts = np.frombuffer(g.buffers()[1], np.int32, len(g) + 1, g.offset * 4) // 4 if len(g) else np.zeros(1, np.int32)
+    flat = np.frombuffer(g.buffers()[2] or b"", "<i4") if len(g) else np.zeros(0, "<i4")
+    rows_of = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # views of Arrow's own memory
+    model = fit(rows_of, found.column("y").to_numpy() if found.num_rows else np.zeros(0, int), 0.5 if share is None else share)
     return spark.sparkContext.broadcast(model)
 
 
