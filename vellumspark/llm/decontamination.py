@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,12 @@ from .common import Scratch, prepare, read
 
 WINDOW = 10
 SPANS = "array<struct<start:int,end:int>>"
-#: Benchmark bytes that one broadcast may hold. A larger benchmark is scanned in blocks of items of this size.
+#: Benchmark bytes that one broadcast may hold, with up to four times as much for its windows. A larger benchmark is scanned in
+#: blocks of items, one pass over the documents each.
 BLOCK_BYTES = 16 << 20
+#: Words whose hashes a worker remembers; at the bound it starts afresh.
+MEMO = 300_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes that are part of a word keep their value (capitals lowered); all other ASCII becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -24,49 +30,75 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+class Hashes(dict):
+    """64-bit hashes of words, filled on first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < MEMO:
+            self[word] = h
+        return h
+
+
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window of `size` words."""
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for j in range(size):
+        out = (out ^ h[j : j + len(out)]) * MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Windows:
-    """Every window of the items, keyed by the tuple of its word numbers: exact, so a hit needs no second look."""
+    """Every window of the items as a sorted array of hashes; a hit is verified on the words, which are kept as text."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        self.names = [i for i, _ in items]
-        self.found: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        self.names, hashes = [i for i, _ in items], Hashes()
+        self.words: list[tuple[bytes, np.ndarray]] = []  # per item: its words with one space between, and where each begins (and one past the end)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, (_, text) in enumerate(items):
-            w = [self.ids.setdefault(x, len(self.ids)) for x in words(text)]
-            k = min(size, len(w))
-            for i in range(len(w) - k + 1 if w else 0):
-                self.found.setdefault(k, {}).setdefault(tuple(w[i : i + k]), set()).add(n)
-
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+            w = words(text)
+            self.words.append((b" ".join(w), np.cumsum([0, *(len(x) + 1 for x in w)], dtype=np.int64).astype(np.int32)))
+            if w:
+                k = min(size, len(w))
+                h = rolled(np.array(list(map(hashes.__getitem__, w)), np.uint64), k)
+                found.setdefault(k, []).append((h, np.full(len(h), n, np.int32), np.arange(len(h), dtype=np.int32)))
+        self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, parts in found.items():
+            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.found[k] = (h[order], item[order], at[order])
+
+    def scan(self, text: str | None, hashes: Hashes) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, hit spans [from, to) in words (merged), items that occur."""
-        get = self.ids.get
-        w = [get(x, -1) for x in words(text)]
-        runs, i, n = [], 0, len(w)
-        while i < n:  # stretches of words that the benchmark knows
-            if w[i] < 0:
-                i += 1
-                continue
-            j = i
-            while j < n and w[j] >= 0:
-                j += 1
-            runs.append((i, j))
-            i = j
+        w = words(text)
         spans, items = [], set()
-        for k, table in self.found.items():
-            for i, j in runs:
-                for s in range(i, j - k + 1):
-                    if (who := table.get(tuple(w[s : s + k]))) is not None:
-                        items |= who
-                        spans.append((s, s + k))
-        return n, union(spans), items
+        if w and self.found:
+            h = np.array(list(map(hashes.__getitem__, w)), np.uint64)
+            for k, (known, item, at) in self.found.items():
+                if len(w) < k:
+                    continue
+                mine = rolled(h, k)
+                low = np.searchsorted(known, mine)
+                for i in np.flatnonzero(known[np.minimum(low, len(known) - 1)] == mine):
+                    window, j, hit = b" ".join(w[i : i + k]), int(low[i]), False
+                    while j < len(known) and known[j] == mine[i]:
+                        body, begins = self.words[item[j]]
+                        if body[begins[at[j]] : begins[at[j] + k] - 1] == window:
+                            items.add(int(item[j]))
+                            hit = True
+                        j += 1
+                    if hit:
+                        spans.append((int(i), int(i) + k))
+        return len(w), union(spans), items
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in blocks that each fit one broadcast; the usual benchmark is one block. A third of the bound fits a Python table of its words."""
+    """The benchmark in blocks that each fit one broadcast, one block at a time on the driver; the usual benchmark is one block."""
     block, size = [], 0
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").distinct().orderBy("i", "t").toLocalIterator():
         block.append((r.i, r.t))
-        size += len(r.t or "")
+        size += len((r.t or "").encode("utf-8", "surrogatepass"))
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -92,10 +124,11 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
 
 def _pass(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
             counts, spans, items = [], [], []
             for text, s0, i0 in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
-                n, s, who = table.value.scan(text)
+                n, s, who = table.value.scan(text, hashes)
                 counts.append(n)
                 spans.append([{"start": a, "end": b} for a, b in union(s + [(x["start"], x["end"]) for x in s0 or ()])])
                 items.append(sorted({table.value.names[i] for i in who} | set(i0 or ())))
@@ -134,27 +167,57 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mode: str
     Cutting keeps what stands between words, null texts stay null. Every other row and all columns are as before.
     """
     prepare(spark)
-    id_col, text_col = cols.get("id_col", "doc_id"), cols.get("text_col", "text")
-    windows = list(_blocks(benchmark, cols.get("item_col", "item_id"), cols.get("item_text", "text")))
-    for n, block in enumerate(windows):
-        if n:
-            docs = Scratch(spark).keep(docs)
+    text_col = cols.get("text_col", "text")
+    if mode == "spans":
+        return _cut_spans(spark, docs, benchmark, cols)
+    scratch, last = Scratch(spark), None
+    for n, block in enumerate(_blocks(benchmark, cols.get("item_col", "item_id"), cols.get("item_text", "text"))):
+        if n:  # one block's windows in a worker at a time
+            docs, gone = scratch.keep(docs), last
+            last = docs
+            if gone is not None:
+                scratch.drop(gone)
         table, at = spark.sparkContext.broadcast(Windows(block)), docs.columns.index(text_col)
 
         def run(batches, table=table, at=at):
+            hashes = Hashes()
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                hits = [table.value.scan(t)[1] for t in texts]
-                if mode == "documents":
-                    yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
-                else:
-                    cut_texts = pa.array([cut(t, h) for t, h in zip(texts, hits, strict=True)], batch.schema.field(at).type)
-                    yield pa.RecordBatch.from_arrays([cut_texts if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+                yield batch.filter(pa.array([not table.value.scan(t, hashes)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
+def _cut_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Spans of all blocks are found on the whole text before any is cut, as a cut would hide windows that overlap it."""
+    text_col, scratch = cols.get("text_col", "text"), Scratch(spark)
+    df = docs.withColumn("_dc_spans", F.lit(None).cast(SPANS))
+    at, kind = docs.columns.index(text_col), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for n, block in enumerate(_blocks(benchmark, cols.get("item_col", "item_id"), cols.get("item_text", "text"))):
+        if n:
+            df = scratch.keep(df)
+        table = spark.sparkContext.broadcast(Windows(block))
+
+        def find(batches, table=table):
+            hashes = Hashes()
+            for batch in batches:
+                spans = []
+                for text, before in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    s = table.value.scan(text, hashes)[1] + [(x["start"], x["end"]) for x in before or ()]
+                    spans.append([{"start": a, "end": b} for a, b in union(s)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], names=batch.schema.names)
+
+        df = df.mapInArrow(find, df.schema)
+
+    def drop(batches):
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            made = [cut(t, [(x["start"], x["end"]) for x in s or ()]) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
+
+    return df.mapInArrow(drop, docs.schema)
+
+
 def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the words in `spans` and what stands between them."""
     if not text or not spans:
