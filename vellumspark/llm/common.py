@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -22,9 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where all share a disk, one is made where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -35,7 +36,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.live = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -43,19 +44,24 @@ class Scratch:
         df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._vellum_at = at
+        self.live[at] = True
         return out
 
-    def sweep(self) -> None:
-        """Let go of the shuffle files of finished steps, which Spark deletes once the driver has collected their plans."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
+        self._delete([t._vellum_at for t in tables])
+
+    def drop_all(self, but: tuple[DataFrame, ...] = ()) -> None:
+        """Delete all tables but those that the result still reads."""
+        stay = {t._vellum_at for t in but}
+        self._delete([at for at in self.live if at not in stay])
+
+    def _delete(self, paths: list[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._vellum_at)
+        for at in paths:
+            path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(conf).delete(path, True)
+            self.live.pop(at, None)
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
@@ -69,7 +75,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
 
     def settled(e: DataFrame) -> bool:
         """Whether every node has one smaller neighbour, which has none."""
-        return e.groupBy("a").count().where("count > 1").isEmpty() and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
     cur = scratch.keep(norm(edges.select("a", "b")))
     for _ in range(rounds):
@@ -85,5 +92,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
         cur = nxt
     else:
         raise RuntimeError("connected components did not settle")
-    out = cur.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return scratch.keep(out.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    # settled: each a has one b
+    out = scratch.keep(cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    scratch.drop(cur)
+    return out
