@@ -49,7 +49,7 @@ def test_near_dedup(spark):
 
 def test_blocks_hold_all_pairs(spark, monkeypatch):
     """With small nodes and blocks the large-node path runs; a chain of near copies must stay one component."""
-    for name, value in (("NODE", 4), ("BLOCK", 3)):
+    for name, value in (("NODE", 4), ("BLOCK", 3), ("DEPTH", 2)):
         monkeypatch.setattr(neardup, name, value)
     base = [f"w{i}" for i in range(60)]
     rows = []

@@ -1,9 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for each operator."""
 
+import collections
 import hashlib
+import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -29,14 +32,59 @@ def test_sharding(spark, odd_docs, no_docs):
 
 
 def test_packing():
-    assert sharding.best_fit([5, 4, 3, 3, 2], 6) == [0, 1, 2, 2, 1]
-    assert sharding.best_fit([9, 4], 6) == [0, 1]
-    sizes = sorted([(i * 7919) % 1000 + 1 for i in range(3000)], reverse=True)
+    assert sharding.best_fit([(5, 1), (4, 1), (3, 2), (2, 1)], 6) == [[(0, 1)], [(1, 1)], [(2, 2)], [(1, 1)]]
+    assert sharding.best_fit([(9, 1), (4, 1)], 6) == [[(0, 1)], [(1, 1)]]
+    items = sorted([(i * 7919) % 1000 // 3 + 1 for i in range(3000)], reverse=True)
+    sizes = sorted(collections.Counter(items).items(), reverse=True)
     loads = [0] * 40
-    for s, b in zip(sizes, sharding.pack_evenly(sizes, 40), strict=True):
-        loads[b] += s
-    assert max(loads) - min(loads) <= 0.01 * sum(sizes) / 40
-    assert sharding.pack_evenly([100, 1, 1, 1], 3)[0] not in sharding.pack_evenly([100, 1, 1, 1], 3)[1:]
+    for (s, c), runs in zip(sizes, sharding.pack_evenly(sizes, 40), strict=True):
+        assert sum(n for _, n in runs) == c
+        for b, n in runs:
+            loads[b] += s * n
+    assert max(loads) - min(loads) <= 0.01 * sum(loads) / 40
+    big, small = sharding.pack_evenly([(100, 1), (1, 3)], 3)
+    assert big[0][0] not in [b for b, _ in small]
+
+
+def test_runs_equal_one_item_at_a_time():
+    """Best fit decreasing item by item with a plain scan for the tightest bin."""
+    items = sorted([(i * i * 31) % 97 + 1 for i in range(700)], reverse=True)
+    bins, want = [], collections.Counter()
+    for size in items:
+        fit = [(room, b) for b, room in enumerate(bins) if room >= size]
+        if fit:
+            b = min(fit)[1]
+        else:
+            b = len(bins)
+            bins.append(500)
+        bins[b] -= size
+        want[size, b] += 1
+    sizes = sorted(collections.Counter(items).items(), reverse=True)
+    got = collections.Counter()
+    for (size, _), runs in zip(sizes, sharding.best_fit(sizes, 500), strict=True):
+        for b, n in runs:
+            got[size, b] += n
+    assert got == want
+
+
+def test_shards_are_even(spark):
+    """Equal texts together, near equal bytes, the packing that the driver planned: over whole documents, with hot copies and a hot size."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = spark.range(3000).selectExpr("id + 10000 AS doc_id", "CASE WHEN id < 1000 THEN 'one very common text' ELSE lpad(CAST(id AS string), 40, 'x') END AS text")
+    rows = sharding.assign(spark, docs.union(more), 8).collect()
+    load, homes = collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        load[r.shard] += r["size"]
+        homes[r.text_crc32, r["size"]].add(r.shard)
+    assert len(load) == 8 and max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 8
+    assert all(len(h) == 1 for h in homes.values())
+
+
+def test_write_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 7}", i) for i in range(50)], "doc_id long, text string, shard int")
+    sharding.write_shards(spark, docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.doc_id for r in back) == list(range(50)) and len({r.shard for r in back}) == 4
 
 
 def test_bins_match_a_plain_scan():
@@ -98,6 +146,19 @@ def test_decontamination(spark, odd_docs, no_docs):
     kept = decontamination.remove(spark, odd_docs, items)
     assert {9, 10, 1} & {r.doc_id for r in kept.collect()} == set() and kept.columns == odd_docs.columns
     assert decontamination.cut("A, b c; d", [(1, 3)]) == "A, ; d"
+    spans = {r.doc_id: r.text for r in decontamination.remove(spark, odd_docs, items, mode="spans").collect() if r.doc_id is not None}
+    assert spans[1].startswith(" delta") and spans[9] == " two" and spans[4] is None and spans[5] == ""
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Many blocks of a few items give what one block gives."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").limit(12)
+    one = sorted(decontamination.scan(spark, docs, items).collect(), key=lambda r: r.id)
+    kept, cut = ([r.text for r in decontamination.remove(spark, docs, items, mode=m).orderBy("doc_id").collect()] for m in ("documents", "spans"))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1500)
+    assert len(list(decontamination._blocks(items, "item_id", "text"))) > 3
+    assert sorted(decontamination.scan(spark, docs, items).collect(), key=lambda r: r.id) == one
+    assert [[r.text for r in decontamination.remove(spark, docs, items, mode=m).orderBy("doc_id").collect()] for m in ("documents", "spans")] == [kept, cut]
 
 
 def test_line_dedup(spark, odd_docs, no_docs):
@@ -117,6 +178,15 @@ def test_bpe(spark, odd_docs, no_docs):
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         assert bytes(r.ids) == b"".join(i.to_bytes(4, "little") for i in ids) and r.decoded == t.decode(ids, skip_special_tokens=False)
     assert bpe.encode(no_docs, a).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    signs = [*"abcdeth in  \n\t'll're1290!?.é國İßΣς\x1c", "the", "ing", " of", "<|endoftext|>"]
+    rng = random.Random(3)
+    made = spark.createDataFrame([("".join(rng.choices(signs, k=rng.choice([1, 3, 10, 40]))),) for _ in range(2000)], "text string")
+    rows = bpe.decode(bpe.encode(docs.union(made), a), a).collect()
+    assert len(rows) > 2900
+    for r in rows:
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        assert bytes(r.ids) == np.array(ids, "<u4").tobytes() and r.decoded == t.decode(ids, skip_special_tokens=False)
 
 
 def test_html(spark):
@@ -134,8 +204,11 @@ def test_chats(spark):
     assert got[3].text.startswith("<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb")
     assert chats.render(spark, c.limit(0)).count() == 0
     many = spark.range(2500).selectExpr("7L AS conv_id", "id AS turn", "'user' AS role", "cast(id AS string) AS text")
-    parts = chats.render(spark, many.union(many.where("turn < 1500").selectExpr("8L", "turn", "role", "text"))).orderBy("part").collect()
-    assert [(r.conv, r.part, r.n_turns) for r in parts] == [(7, k, 2500) for k in range(3)]
+    one = chats.render(spark, many.union(many.where("turn < 1500").selectExpr("8L", "turn", "role", "text"))).collect()
+    assert [(r.conv, r.n_turns) for r in one] == [(7, 2500)]
+    assert one[0].text == "".join(f"<|im_start|>user\n{k}<|im_end|>\n" for k in range(2500))
+    clash = c.selectExpr("*", "1 AS conv", "2 AS pos", "'z' AS c1", "'y' AS cell", "3 AS n").union(spark.sql("SELECT 9L, 0L, 'user', repeat('long ', 200000), 1, 2, 'z', 'y', 3"))
+    assert sorted(r.conv for r in chats.render(spark, clash).collect()) == [3, 4, 5, 6, 9]
 
 
 def test_token_counts(spark, odd_docs, no_docs):

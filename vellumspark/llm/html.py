@@ -27,18 +27,33 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title iframe xmp noembed noframes".split())
 #: Elements whose text is never part of a page's running text.
 SILENT = set("head noscript template object svg math canvas select button audio video datalist map".split())
-CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-#: Start tag: the open tags that it ends, and the tags that bound the search.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tr", "td", "th", "thead"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"}),
-}
+#: Scopes of the HTML standard, "The stack of open elements": an element beyond one of these is out of reach of an implied end tag.
+SCOPE = {"#", "caption", "html", "table", "td", "th", "marquee", "object", "template"}
+LIST_SCOPE, BUTTON_SCOPE, TABLE_SCOPE = SCOPE | {"ol", "ul"}, SCOPE | {"button"}, {"#", "html", "table", "template"}
+#: Block start tags, before which an open paragraph ends.
+BLOCKS = set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr main menu nav ol p pre search section summary ul"
+    " h1 h2 h3 h4 h5 h6 li dd dt table".split()
+)
+#: Start tags that end other open elements, with the scope they look in, by the standard's "in body" and "in table" insertion modes.
+IMPLIED_ENDS = [
+    ({"li"}, {"li"}, LIST_SCOPE), ({"dd", "dt"}, {"dd", "dt"}, LIST_SCOPE), (BLOCKS, {"p"}, BUTTON_SCOPE),
+    ({"td", "th"}, {"td", "th"}, TABLE_SCOPE | {"tr"}), ({"tr"}, {"tr"}, TABLE_SCOPE), ({"tbody", "thead", "tfoot"}, {"tbody", "thead", "tfoot"}, TABLE_SCOPE), ({"option"}, {"option"}, SCOPE),
+]
+ENDS = {tag: [(ended, scope) for tags, ended, scope in IMPLIED_ENDS if tag in tags] for tags, _, _ in IMPLIED_ENDS for tag in tags}
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption figure caption table tbody ul ol dl".split()) | INLINE
 
 STATES = 3
-
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|data-k)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Messages go one depth after another; elements nested deeper than this belong to the one above.
+DEEP = 400
+
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)?(?:\s*(=)\s*)?""")
+VALUE = re.compile(r"""[^\s>]*""")
+#: Attributes whose words tell what an element is for.
+TELLING = {"class", "id", "role"}
+#: The attribute with an element's state in labelled pages; read in training only.
+LABEL = "data-k"
 CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
@@ -54,33 +69,83 @@ class Page:
     linked: list[int] = field(default_factory=list)
     blocks: list[list[tuple[int, str]]] = field(default_factory=list)
 
-    def add(self, tag: str, attrs: str, parent: int) -> int:
-        words, label = (), -1
-        if attrs:
-            for m in ATTR.finditer(attrs):
-                value = m[2] or m[3] or m[4] or ""
-                if m[1] == "data-k":
-                    label = int(value)
-                else:
-                    words += tuple(w for w in re.split(r"[^a-z]+", CAMEL.sub(r"\1 \2", value).lower()) if w)
+    def add(self, tag: str, attrs: dict[str, str], parent: int) -> int:
+        words = tuple(w for k in sorted(TELLING & attrs.keys()) for w in re.split(r"[^a-z]+", CAMEL.sub(r"\1 \2", attrs[k]).lower()) if w)
         self.tags.append(tag)
         self.words.append(words)
         self.parents.append(parent)
-        self.labels.append(label)
+        self.labels.append(int(attrs[LABEL]) if LABEL in attrs else -1)
         self.chars.append(0)
         self.linked.append(0)
         return len(self.tags) - 1
 
 
-def parse(source: str | None) -> Page:
-    """A forgiving parser: implied and missing end tags, raw elements, comments and stray signs as browsers take them, more or less."""
+class Reader:
+    """Start and end tags of a source, each sign looked at a bounded number of times: what is known not to come is not sought again."""
+
+    def __init__(self, source: str, labelled: bool):
+        self.source, self.end = source, len(source)
+        self.last_gt, self.wanted = source.rfind(">"), TELLING | {LABEL} if labelled else TELLING
+        self.gone: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` comes next, or -1."""
+        if at >= self.gone.get(what, self.end + 1):
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.gone[what] = at
+        return found
+
+    def tag(self, lt: int) -> tuple[str, dict[str, str], int] | None:
+        """The name ("/" before that of an end tag), telling attributes and end of the tag at `lt`; None where there is no tag.
+
+        Comments, declarations and instructions have the name "". A quote that is never closed does not count as one.
+        """
+        s = self.source
+        if s.startswith("<!--", lt):
+            at = self.find("-->", lt + 4)
+            return "", {}, at + 3 if at >= 0 else self.end
+        if lt + 1 < self.end and s[lt + 1] in "!?":
+            at = self.find(">", lt)
+            return "", {}, at + 1 if at >= 0 else self.end
+        m = NAME.match(s, lt + 1) if lt < self.last_gt else None
+        if m is None:
+            return None
+        attrs, at, known = {}, m.end(), m[0].lower()
+        while s[at] != ">":
+            a = ATTR.match(s, at)
+            at = a.end()
+            if at >= self.end:
+                return None
+            value = ""
+            if s[at] in "\"'" and (a[2] or not a[1]):
+                close = self.find(s[at], at + 1)
+                if 0 <= close < self.last_gt:
+                    value, at = s[at + 1 : close], close + 1
+                else:
+                    at += 1
+            elif a[2]:
+                v = VALUE.match(s, at)
+                value, at = v[0], v.end()
+            if a[1] and (key := a[1].lower()) in self.wanted and key not in attrs:
+                attrs[key] = value
+        return known, attrs, at + 1
+
+
+def parse(source: str | None, labelled: bool = False) -> Page:
+    """A forgiving parser: implied and missing end tags, raw elements, comments and stray signs as browsers take them, more or less.
+
+    labelled: read the states that pages for training carry. Time is in proportion to the source's length.
+    """
     page = Page()
-    root = page.add("#", "", -1)
+    root = page.add("#", {}, -1)
     stack: list[tuple[str, int]] = [("#", root)]
-    count: Counter[str] = Counter()
+    count: Counter[str] = Counter({"#": 1})
     state = {"silent": 0, "links": 0}
     block: list[tuple[int, str]] = []
     source = source or ""
+    reader = Reader(source, labelled)
 
     def flush() -> None:
         nonlocal block
@@ -96,6 +161,17 @@ def parse(source: str | None) -> Page:
         if tag not in INLINE:
             flush()
 
+    def close(ended: set[str], scope: set[str]) -> None:
+        """End the innermost open element of `ended` and all in it, unless an element of `scope` lies between."""
+        if any(count[t] for t in ended):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ended:
+                    while len(stack) > k:
+                        pop()
+                    return
+                if stack[k][0] in scope:
+                    return
+
     def text(raw: str) -> None:
         if raw and not state["silent"]:
             at = stack[-1][1]
@@ -112,53 +188,39 @@ def parse(source: str | None) -> Page:
         if lt < 0:
             text(source[pos:])
             break
-        m = TOKEN.match(source, lt)
-        if m is None:
+        got = reader.tag(lt)
+        if got is None:
             text(source[pos : lt + 1])
             pos = lt + 1
             continue
         text(source[pos:lt])
-        pos = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        tag, attrs, pos = got
+        if not tag:
             continue
-        tag, attrs = name.lower(), m[3] if m[2] else m[6]
-        if m[1] or m[4]:
-            if count[tag]:
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+        if tag[0] == "/":
+            if count[tag[1:]]:
+                close({tag[1:]}, set())
             continue
         if tag in RAW:
-            at = re.compile(rf"</{tag}[\s/>]", re.I).search(source, pos)
-            pos = source.find(">", at.start()) + 1 or end if at else end
+            at = raw_end(reader, tag, pos)
+            gt = reader.find(">", at) if at >= 0 else -1
+            pos = gt + 1 if gt >= 0 else end
             continue
         if tag == "br":
             text("\n")
             continue
-        if count["head"] and (tag == "body" or tag in CLOSES_P):
-            while count["head"]:
-                pop()
-        if tag in CLOSES_P and count["p"]:
-            while count["p"]:
-                pop()
-        if tag in IMPLIED:
-            ends, bounds = IMPLIED[tag]
-            k = len(stack) - 1
-            last = None
-            while k > 0 and stack[k][0] not in bounds:
-                if stack[k][0] in ends:
-                    last = k
-                k -= 1
-            while last is not None and len(stack) > last:
-                pop()
+        if count["head"] and (tag == "body" or tag in BLOCKS):
+            close({"head"}, set())
+        for ended, scope in ENDS.get(tag, ()):
+            close(ended, scope)
         if tag not in INLINE:
             flush()
         if tag in VOID:
             continue
         parent = stack[-1][1]
-        plain = tag in INLINE and not ("class" in attrs or "id" in attrs or "data-k" in attrs)
-        stack.append((tag, parent if plain or state["silent"] else page.add(tag, attrs, parent)))
+        plain = tag in INLINE and not attrs
+        deep = len(stack) > DEEP  # elements nested deeper than any page's are read as part of the one that holds them
+        stack.append((tag, parent if plain or deep or state["silent"] else page.add(tag, attrs, parent)))
         count[tag] += 1
         state["silent"] += tag in SILENT
         state["links"] += tag == "a"
@@ -166,8 +228,18 @@ def parse(source: str | None) -> Page:
     return page
 
 
+def raw_end(reader: Reader, tag: str, at: int) -> int:
+    """Where the end tag of a raw element begins, or -1."""
+    while (at := reader.find("</", at)) >= 0:
+        after = at + 2 + len(tag)
+        if reader.source[at + 2 : after].lower() == tag and reader.source[after : after + 1] in (">", "/", " ", "\t", "\n", "\r", "\f"):
+            return at
+        at += 2
+    return -1
+
+
 def features(page: Page) -> list[list[str]]:
-    """Per element: its tag, class words, and and the link share of the text below it."""
+    """Per element: its tag, class words, and the link share of the text below it."""
     chars, linked = page.chars[:], page.linked[:]
     for i in range(len(chars) - 1, 0, -1):
         chars[page.parents[i]] += chars[i]
@@ -242,7 +314,7 @@ def render(node) -> str:
 
 def train(labelled: list[str] | None = None, epochs: int = 80, rate: float = 0.6, decay: float = 1e-5) -> Model:
     """Potentials from labelled pages: HTML whose elements carry their state as data-k; those without it are unobserved."""
-    pages = [parse(s) for s in (labelled or map(render, htmlpages.pages()))]
+    pages = [parse(s, labelled=True) for s in (labelled or map(render, htmlpages.pages()))]
     forest, feats = Forest(pages), [own for p in pages for own in features(p)]
     names = {f: i for i, f in enumerate(sorted({f for own in feats for f in own}))}
     row = np.repeat(np.arange(len(feats)), [len(x) for x in feats])

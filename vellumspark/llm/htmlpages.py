@@ -39,8 +39,16 @@ MAINS = [
 ]
 
 
+def _named(r: random.Random, words: str) -> str:
+    """One of the class words, at times with a site's own prefix or a word of no meaning beside it."""
+    if not words:
+        return r.choice(["", "", "", "x-" + r.choice(WORDS)])
+    word = r.choice(words.split())
+    return r.choice([word, word, word, f"{r.choice(WORDS)}-{word}", f"{word}__{r.choice(WORDS)}", f"{r.choice(WORDS)} {word}"])
+
+
 def _frame(r: random.Random, tag: str, words: str, holds: str):
-    word = r.choice(words.split()) if words else ""
+    word = _named(r, words)
     if holds == "links":
         inner = [_links(r, "", r.randint(2, 7))] if r.random() < 0.7 else [("a", "", 0, _text(r, 2)) for _ in range(r.randint(1, 4))]
     elif holds == "short":
@@ -48,16 +56,18 @@ def _frame(r: random.Random, tag: str, words: str, holds: str):
     elif holds == "long":
         inner = [("p", "", 0, _text(r, r.randint(10, 60))) for _ in range(r.randint(1, 3))]
     elif holds == "form":
-        inner = [("label", "", 0, _text(r, 2)), ("button", "", 0, _text(r, 1)), ("p", "", 0, _text(r, r.randint(3, 10)))]
+        inner = [("label", "", 0, _text(r, 2)), ("button", "", 0, _text(r, 1)), ("p", "", 0, _text(r, r.randint(1, 10)))][r.choice([0, 0, 1, 2]) :]
     elif holds == "comments":
-        inner = [("h3", "", 0, _text(r, 2))] + [("div" if tag != "ol" else "li", r.choice(["comment", ""]), 0, [("p", "", 0, _text(r, r.randint(3, 60)))]) for _ in range(r.randint(1, 5))]
+        said = lambda: ("p", "", 0, _text(r, r.choice([1, 1, 2, 5, 20, 60])))
+        inner = [("h3", "", 0, _text(r, 2))] if r.random() < 0.6 else []
+        inner += [said() if r.random() < 0.4 and tag != "ol" else ("div" if tag != "ol" else "li", r.choice(["comment", ""]), 0, [said()]) for _ in range(r.randint(1, 5))]
     else:
         inner = [r.choice([("p", "", 0, _text(r, r.randint(2, 30))), ("h2", "", 0, _text(r, 2)), _links(r, "", 3), ("div", "", 0, _text(r, 5)), ("span", "", 0, _text(r, 3)), ("h1", "", 0, _text(r, 2))]) for _ in range(r.randint(1, 3))]
     return (tag, word, 0, inner)
 
 
 def _main(r: random.Random, tag: str, words: str, depth: int = 0):
-    word = r.choice(words.split()) if words else ""
+    word = _named(r, words)
     inner: list = [("h1", r.choice(["", "title", "headline"]), 1, _text(r, r.randint(2, 10)))] if r.random() < 0.8 else []
     if r.random() < 0.1:
         inner = [("header", "", 1, inner)] if inner else inner
@@ -80,12 +90,14 @@ def _main(r: random.Random, tag: str, words: str, depth: int = 0):
             inner.append(("div", "", 1, _text(r, r.randint(3, 40))))
         else:
             inner.append(("figure", "", 1, [("figcaption", "", 1, _text(r, 6))]))
-    if r.random() < 0.5:
-        inner.insert(r.randint(1, len(inner)) if inner else 0, _frame(r, *r.choice([f for f in FRAMES if f[0] in ("div", "aside", "form", "section")])))
+    for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+        inner.insert(r.randint(0, len(inner)), _frame(r, *r.choice([f for f in FRAMES if f[0] not in ("header",)])))
+    if r.random() < 0.3:  # what readers add below the text
+        inner.append(_frame(r, *r.choice([f for f in FRAMES if f[2] in ("comments", "form")])))
     return (tag, word, 1, inner)
 
 
-def pages(n: int = 300, seed: int = 11) -> list[tuple]:
+def pages(n: int = 600, seed: int = 11) -> list[tuple]:
     """Labelled pages, the same ones each time: frames around one main text, at times wrapped in further divisions."""
     out = []
     for k in range(n):
