@@ -16,7 +16,7 @@ def dedupe(spark, sf):
     return jobs.run(spark, jobs.first_sightings(jobs.source(spark, f"{sf}/events.parquet"), ["user_id", "event_type"]), "dedupe")
 
 
-DEDUPE = "SELECT DISTINCT user_id, event_type FROM events"
+DEDUPE = "SELECT DISTINCT user_id, event_type, CAST(date_trunc('day', ts) AS DATE) AS day FROM events"
 
 
 def reminders(spark, sf):

@@ -12,12 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one that the cluster names, or a temporary one where none is set."""
+    """A new folder under the shared one that the cluster names; only in local mode, where all share a disk, a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stream-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
@@ -33,13 +36,16 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, df: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
-    """The rows that a stream gives until it has read all: in complete mode those of the last batch, in update mode each key's latest."""
+    """The rows that a stream gives until it has read all: in complete mode those of the last batch, in update mode each key's latest.
+
+    Each batch has a folder of its own, which it writes anew, so a batch that runs again after a failure leaves its rows once.
+    """
     out, check = place(spark, name), place(spark, f"{name}-state")
-    schema = df.schema.add("_batch", "long")
-    spark.createDataFrame([], schema).write.parquet(out)
+    schema = StructType([*df.schema.fields, StructField("_batch", LongType())])
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/_batch=-1")
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={0 if mode == 'complete' else n}")
 
     df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(schema).parquet(out)
@@ -55,9 +61,10 @@ def daily_counts(events: DataFrame) -> DataFrame:
     return w.agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")).select(F.to_date("window.start").alias("day"), "event_type", "n", "total")
 
 
-def first_sightings(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Each combination of keys once."""
-    return events.select(*keys).dropDuplicates(keys)
+def first_sightings(events: DataFrame, keys: list[str], wait: str = "2 days") -> DataFrame:
+    """Each combination of keys once a day. State of a day is let go when rows of it can't come any more, `wait` after the latest row."""
+    day = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", wait).withColumn("w", F.window("ts", "1 day"))
+    return day.select(*keys, "w").dropDuplicates([*keys, "w"]).select(*keys, F.to_date("w.start").alias("day"))
 
 
 REMINDER = "user_id long, alerts long, last_value double"
