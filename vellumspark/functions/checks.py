@@ -57,11 +57,17 @@ def cif(c: Column | str) -> Column:
     total = F.aggregate(F.transform(ds, lambda d, i: F.when(i % 2 == 0, F.floor(d * 2 / 10).cast("int") + d * 2 % 10).otherwise(d)), F.lit(0), lambda a, x: a + x)
     control = (10 - total % 10) % 10
     last = F.substring(s, 9, 1)
-    return s.rlike(r"^[ABCDEFGHJNPQRSUVW]\d{7}[0-9A-J]$") & ((last == control.cast("string")) | (last == F.substring(F.lit(CIF_LETTERS), control + 1, F.lit(1))))
+    digit, letter = last == control.cast("string"), last == F.substring(F.lit(CIF_LETTERS), control + 1, F.lit(1))
+    kind = F.substring(s, 1, 1)
+    good = F.when(kind.isin(*"PQRSNW"), letter).when(kind.isin(*"ABEH"), digit).otherwise(digit | letter)
+    return s.rlike(r"^[ABCDEFGHJNPQRSUVW]\d{7}[0-9A-J]$") & good
 
 
 def nif(c: Column | str) -> Column:
-    return dni(c) | nie(c) | cif(c)
+    """Any of the tax numbers, and those of persons without an identity number: K, L or M, seven digits and the letter of the digits."""
+    s = compact(c)
+    special = s.rlike(r"^[KLM]\d{7}[A-Z]$") & dni(F.concat(F.lit("0"), F.substring(s, 2, 8)))
+    return dni(c) | nie(c) | cif(c) | special
 
 
 def ean(c: Column | str) -> Column:

@@ -98,30 +98,46 @@ def mask(c: Column | str) -> Column:
     return out
 
 
+def above(path: Column) -> Column:
+    """A path's beginnings: its first part, its first two, and so on to the path itself."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def undo_plan(journal: DataFrame, session: str) -> DataFrame:
     """(seq, object, action): a session's successful writes, newest first, that nothing has undone.
 
     A write is in conflict if a later successful write of another session, itself not undone, touches the same object, one above it or one below it.
+    Of the others' writes only the latest one at a path, and the latest at it or below it, can matter, so a busy object is one row of each.
     """
     done = journal.where("ok AND undoes IS NOT NULL").select(F.col("undoes").alias("seq"))
     live = journal.where("ok AND undoes IS NULL").join(done, "seq", "left_anti")
     mine = live.where(F.col("session") == session)
-    # paths relate only if they share their first part, so the join is on that
-    root = F.substring_index("object", "/", 1)
-    other = live.where(F.col("session") != session).select(root.alias("root"), F.col("seq").alias("later"), F.col("object").alias("touched"))
-    near = (F.col("object") == F.col("touched")) | F.startswith(F.col("touched"), F.concat("object", F.lit("/"))) | F.startswith(F.col("object"), F.concat("touched", F.lit("/")))
-    hit = mine.withColumn("root", root).join(other, "root").where((F.col("later") > F.col("seq")) & near).select("seq").distinct().withColumn("hit", F.lit(True))
+    other = live.where(F.col("session") != session).groupBy("object").agg(F.max("seq").alias("later"))
+    below = other.select(F.explode(above(F.col("object"))).alias("object"), "later").groupBy("object").agg(F.max("later").alias("later"))
+    spots = mine.select("seq", F.explode(above(F.col("object"))).alias("at"), "object")
+    over = spots.where("at <> object").join(other.withColumnRenamed("object", "at"), "at").select("seq", "later")
+    at = mine.select("seq", "object").join(below, "object").select("seq", "later")
+    hit = over.union(at).where("later > seq").select("seq").distinct().withColumn("hit", F.lit(True))
     return mine.join(hit, "seq", "left").select("seq", "object", F.when(F.col("hit"), "conflict").otherwise("undo").alias("action"))
 
 
-def name_similarity(left: DataFrame, right: DataFrame, key: str, name: str, least: float) -> DataFrame:
-    """(a, b, score): names of both sides whose words have a Jaccard similarity of at least `least`; candidates share a word.
+def name_similarity(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
+    """(a, b, score), a < b: names whose words have a Jaccard similarity of at least `least`, which must be above one half.
 
-    Pairs are counted from the words up, each word's holders joined with each other, so words that nearly all names hold should not be passed in.
+    Two names of n words that are so similar share at least `least` * n of them; so, with the words in one order (the rarer first), they
+    share two of their first n - `least` * n + 2, and are joined on such pairs. Names of one word are joined on it.
     """
-    words = lambda d, k: d.select(F.col(key).alias(k), F.explode(F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != ""))).alias("w"))
-    a, b = words(left, "a"), words(right, "b")
-    na, nb = (d.groupBy(k).agg(F.count("*").alias(f"n{k}")) for d, k in ((a, "a"), (b, "b")))
-    both = a.join(b, "w").groupBy("a", "b").agg(F.count("*").alias("n"))
-    score = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
-    return both.join(na, "a").join(nb, "b").select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+    if least <= 0.5:
+        raise ValueError("the least similarity must be above one half")
+    words = names.select(F.col(key).alias("k"), F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")).alias("ws"))
+    each = words.select("k", F.explode("ws").alias("w"))
+    rank = each.groupBy("w").agg(F.count("*").alias("held"))
+    sets = each.join(rank, "w").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "w"))), lambda x: x["w"]).alias("ws"))
+    n = F.size("ws")
+    first = F.slice("ws", F.lit(1), F.least(n, n - F.ceil(n * least - 1e-9).cast("int") + 2))
+    pairs = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, n), lambda y: F.concat_ws(" ", x, y))))
+    keyed = sets.select("k", "ws", F.explode(F.when(n == 1, F.col("ws")).otherwise(pairs)).alias("pair"))
+    a, b = (keyed.select(F.col("k").alias(x), F.col("ws").alias(f"w{x}"), "pair") for x in "ab")
+    score = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return a.join(b, "pair").where("a < b").select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least).distinct()

@@ -103,7 +103,7 @@ def sessions(df: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:
 
 def repeated_lines(df: DataFrame, group: str, page: str, line: str, share: float = 0.5, least: int = 3) -> DataFrame:
     """(group, form, pages): lines, digits masked, that stand on more than `share` of a group's pages, if it has `least` pages."""
-    form = F.trim(F.regexp_replace(F.col(line), r"\d", "#"))
+    form = F.trim(F.regexp_replace(F.lower(F.col(line)), r"\d+", "#"))
     lines = df.select(group, page, form.alias("form")).where((F.col("form") != "") & (F.char_length("form") <= 160)).distinct()
     total = df.select(group, page).distinct().groupBy(group).agg(F.count("*").alias("_all"))
     n = lines.groupBy(group, "form").agg(F.count("*").alias("pages"))

@@ -95,7 +95,7 @@ concat_ws(' ', day(day), string_split('ene feb mar abr may jun jul ago sep oct n
 #: Invented numbers, right and wrong ones of each kind, with what each check says.
 IDS = [
     ("4539578763621486", "luhn", True), ("4539578763621487", "luhn", False), ("79927398713", "luhn", True), ("ES91 2100 0418 4502 0005 1332", "iban", True), ("ES92 2100 0418 4502 0005 1332", "iban", False), ("DE89370400440532013000", "iban", True), ("GB82WEST12345698765432", "iban", True), ("GB82WEST1234569876543", "iban", False),
-    ("12345678Z", "nif", True), ("12345678A", "nif", False), ("X1234567L", "nif", True), ("X1234567M", "nif", False), ("A58818501", "nif", True), ("A58818502", "nif", False), ("4006381333931", "ean", True), ("4006381333932", "ean", False), ("73513537", "ean", True), ("0306406152", "isbn", True), ("0306406153", "isbn", False), ("080442957X", "isbn", True), ("9780306406157", "isbn", True), ("9780306406158", "isbn", False),
+    ("12345678Z", "nif", True), ("12345678A", "nif", False), ("X1234567L", "nif", True), ("X1234567M", "nif", False), ("A58818501", "nif", True), ("A58818502", "nif", False), ("A5881850A", "nif", False), ("P2807900B", "nif", True), ("P28079002", "nif", False), ("K1234567L", "nif", True), ("M1234567A", "nif", False), ("4006381333931", "ean", True), ("4006381333932", "ean", False), ("73513537", "ean", True), ("0306406152", "isbn", True), ("0306406153", "isbn", False), ("080442957X", "isbn", True), ("9780306406157", "isbn", True), ("9780306406158", "isbn", False),
 ]
 
 

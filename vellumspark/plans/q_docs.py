@@ -42,12 +42,12 @@ SELECT doc_id, cells, min(n) AS first, count(*) AS rows FROM r GROUP BY doc_id,
 
 
 def claims(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 3000").select("l_orderkey", (F.col("l_linenumber") % 3).alias("source"), "l_returnflag")
+    li = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("source"), "l_returnflag")
     return docs.claim_status(li, ["l_orderkey"], "source", "l_returnflag")
 
 
 CLAIMS = """
-WITH o AS (SELECT l_orderkey, l_linenumber % 3 AS s, list_sort(list_distinct(list(l_returnflag))) AS vs FROM lineitem WHERE l_orderkey <= 3000 GROUP BY ALL), g AS (SELECT l_orderkey, count(*) AS sources, list(vs) AS sets FROM o GROUP BY l_orderkey),
+WITH o AS (SELECT l_orderkey, l_linenumber % 3 AS s, list_sort(list_distinct(list(l_returnflag))) AS vs FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey, count(*) AS sources, list(vs) AS sets FROM o GROUP BY l_orderkey),
 f AS (SELECT *, len(list_distinct(flatten(sets))) AS v, len(list_distinct(sets)) = 1 AS same, len(list_filter(sets, lambda a: len(list_filter(sets, lambda b: NOT list_has_any(a, b))) > 0)) > 0 AS apart FROM g),
 s AS (SELECT *, CASE WHEN sources = 1 THEN CASE WHEN v > 1 THEN 'conflict' ELSE 'single' END WHEN same THEN 'agree' ELSE 'conflict' END AS status FROM f)
 SELECT l_orderkey, sources, CAST(v AS BIGINT) AS values, status, CASE WHEN status = 'conflict' THEN CASE WHEN sources = 1 THEN 'internal' WHEN apart THEN 'disjoint' ELSE 'partial' END END AS nature FROM s
@@ -66,14 +66,14 @@ MASKED = f"SELECT doc_id, sha256({_M}) AS sha FROM documents WHERE {_M} <> text"
 
 
 def undo(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 600")
+    e = table(spark, sf, "events")
     j = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("s"), F.col("user_id") % 4).alias("session"), (F.col("event_id") % 11 != 0).alias("ok"), F.when(F.col("event_id") % 13 == 5, F.col("event_id") - 4).alias("undoes"), F.concat_ws("/", F.concat(F.lit("d"), F.col("event_id") % 40), F.when(F.col("event_id") % 3 == 0, F.lit("t")), F.when(F.col("event_id") % 6 == 0, F.lit("x"))).alias("object"))
     return docs.undo_plan(j, "s1")
 
 
 UNDO = """
 WITH j AS (SELECT event_id AS seq, 's' || (user_id % 4) AS session, event_id % 11 <> 0 AS ok, CASE WHEN event_id % 13 = 5 THEN event_id - 4 END AS undoes,
- 'd' || (event_id % 40) || CASE WHEN event_id % 3 = 0 THEN '/t' ELSE '' END || CASE WHEN event_id % 6 = 0 THEN '/x' ELSE '' END AS object FROM events WHERE event_id < 600),
+ 'd' || (event_id % 40) || CASE WHEN event_id % 3 = 0 THEN '/t' ELSE '' END || CASE WHEN event_id % 6 = 0 THEN '/x' ELSE '' END AS object FROM events),
 l AS (SELECT * FROM j WHERE ok AND undoes IS NULL AND seq NOT IN (SELECT undoes FROM j WHERE ok AND undoes IS NOT NULL))
 SELECT seq, object, CASE WHEN EXISTS (SELECT 1 FROM l o WHERE o.session <> 's1' AND o.seq > m.seq AND (o.object = m.object OR starts_with(o.object, m.object || '/') OR starts_with(m.object, o.object || '/'))) THEN 'conflict' ELSE 'undo' END AS action
 FROM l m WHERE session = 's1'
@@ -81,13 +81,12 @@ FROM l m WHERE session = 's1'
 
 
 def names(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    return docs.name_similarity(p.where("p_partkey <= 300"), p.where("p_partkey > 300"), "p_partkey", "p_name", 0.6)
+    return docs.name_similarity(table(spark, sf, "part"), "p_partkey", "p_name", 0.6)
 
 
 NAMES = r"""
 WITH w AS (SELECT p_partkey AS k, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part),
-p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) AS na, len(b.w) AS nb FROM w a, w b WHERE a.k <= 300 AND b.k > 300)
+p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) AS na, len(b.w) AS nb FROM w a JOIN w b ON a.k < b.k)
 SELECT a, b, round(CAST(n AS DOUBLE) / (na + nb - n), 6) AS score FROM p WHERE n > 0 AND round(CAST(n AS DOUBLE) / (na + nb - n), 6) >= 0.6
 """
 
@@ -129,11 +128,11 @@ SELECT o_orderkey, d AS days_left, CASE WHEN d < 0 THEN 'overdue' ELSE 'due' END
 def upsert(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
     old = o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", "day", (F.col("o_orderkey") % 6 == 0).alias("edited"))
-    new = o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", F.date_add("day", 1).alias("day"))
+    new = o.where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", F.date_add("day", 1).alias("day"))
     return relate.merge_snapshots(old, new, ["o_orderkey", "o_custkey"], "day", "edited").groupBy("action").agg(F.count("*").alias("n"), F.max("day").alias("latest"))
 
 
-UPSERT = """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders), a AS (SELECT CASE WHEN o_orderkey % 2 <> 0 THEN 'inserted' WHEN o_orderkey % 6 = 0 THEN 'kept_user_edits' ELSE 'deleted' END AS action, CASE WHEN o_orderkey % 2 <> 0 THEN day + 1 ELSE day END AS day FROM o WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)
+UPSERT = """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders), a AS (SELECT CASE WHEN o_orderkey % 2 <> 0 THEN 'inserted' WHEN o_orderkey % 6 = 0 THEN 'kept_user_edits' ELSE 'deleted' END AS action, CASE WHEN o_orderkey % 2 <> 0 THEN day + 1 ELSE day END AS day FROM o)
 SELECT action, count(*) AS n, CAST(max(day) AS DATE) AS latest FROM a GROUP BY action"""
 
 QUERIES = {

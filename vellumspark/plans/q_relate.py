@@ -155,25 +155,25 @@ SINGLE = f"SELECT o_orderkey, other, score FROM (SELECT *, count(*) OVER (PARTIT
 
 def merge(spark, sf):
     o = _orders(spark, sf)
-    old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", "day", (F.col("o_orderkey") % 7 == 1).alias("edited"))
+    old = o.where("o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0").select("o_orderkey", "day", (F.col("o_orderkey") % 7 == 1).alias("edited"))
     new = o.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 1, F.date_add("day", 3)).otherwise(F.col("day")).alias("day"))
     return relate.merge_snapshots(old, new, ["o_orderkey"], "day", "edited")
 
 
-MERGE = f"""WITH o AS (SELECT o_orderkey, day, o_orderkey % 7 = 1 AS edited FROM {ORDERS} WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN day + 3 ELSE day END AS day FROM {ORDERS} WHERE o_orderkey % 5 <> 0),
+MERGE = f"""WITH o AS (SELECT o_orderkey, day, o_orderkey % 7 = 1 AS edited FROM {ORDERS} WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN day + 3 ELSE day END AS day FROM {ORDERS} WHERE o_orderkey % 5 <> 0),
 j AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, o.day AS od, n.day AS nd, edited, o.o_orderkey IS NULL AS fresh, n.o_orderkey IS NULL AS gone FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey),
 a AS (SELECT *, CASE WHEN fresh THEN 'inserted' WHEN edited THEN 'kept_user_edits' WHEN gone THEN 'deleted' WHEN od IS NOT DISTINCT FROM nd THEN 'unchanged' ELSE 'updated' END AS action FROM j)
 SELECT o_orderkey, CAST(CASE WHEN action IN ('inserted', 'updated') THEN nd ELSE od END AS DATE) AS day, action FROM a"""
 
 
 def line_diff(spark, sf):
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("k"), "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return relate.line_diff(d.where("doc_id < 50"), d.where("doc_id >= 50 AND doc_id < 100"), "k", "line")
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 2).alias("k"), "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return relate.line_diff(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "k", "line")
 
 
-LINES = r"""WITH d AS (SELECT doc_id % 50 AS k, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 100), f AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS f FROM d)
-SELECT DISTINCT k, 'removed' AS side, line FROM f a WHERE doc_id < 50 AND f <> '' AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id >= 50 AND b.k = a.k AND b.f = a.f)
-UNION ALL SELECT DISTINCT k, 'added', line FROM f a WHERE doc_id >= 50 AND f <> '' AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id < 50 AND b.k = a.k AND b.f = a.f)"""
+LINES = r"""WITH d AS (SELECT doc_id // 2 AS k, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS f FROM d)
+SELECT DISTINCT k, 'removed' AS side, line FROM f a WHERE doc_id % 2 = 0 AND f <> '' AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id % 2 = 1 AND b.k = a.k AND b.f = a.f)
+UNION ALL SELECT DISTINCT k, 'added', line FROM f a WHERE doc_id % 2 = 1 AND f <> '' AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id % 2 = 0 AND b.k = a.k AND b.f = a.f)"""
 
 
 def page_cut(spark, sf):
@@ -185,10 +185,10 @@ CUT = "SELECT conv_id, turn FROM (SELECT conv_id, turn, coalesce(sum(length(text
 
 
 def islands(spark, sf):
-    return relate.islands(table(spark, sf, "events").where("user_id % 3 = 0"), ["event_type"], "user_id").select("event_type", F.col("first").alias("first_id"), F.col("last").alias("last_id"), F.col("size").alias("n"))
+    return relate.islands(table(spark, sf, "events"), ["event_type"], "user_id").select("event_type", F.col("first").alias("first_id"), F.col("last").alias("last_id"), F.col("size").alias("n"))
 
 
-ISLANDS = "SELECT event_type, min(user_id) AS first_id, max(user_id) AS last_id, count(*) AS n FROM (SELECT *, user_id - row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id % 3 = 0)) GROUP BY event_type, r"
+ISLANDS = "SELECT event_type, min(user_id) AS first_id, max(user_id) AS last_id, count(*) AS n FROM (SELECT *, user_id - row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM (SELECT DISTINCT event_type, user_id FROM events)) GROUP BY event_type, r"
 
 
 def sessions(spark, sf):
@@ -233,12 +233,12 @@ JSON = "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key F
 
 
 def shares(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("w"), "l_partkey", "l_suppkey").where("l_orderkey <= 5000")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("w"), "l_partkey", "l_suppkey")
     li = li.withColumn("total", (F.col("l_orderkey") * 37 % 10007).cast("long"))
     return money.split_shares(li, ["l_orderkey"], "total", "w", ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "share")
 
 
-SHARES = """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS w, l_orderkey * 37 % 10007 AS t FROM lineitem WHERE l_orderkey <= 5000),
+SHARES = """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS w, l_orderkey * 37 % 10007 AS t FROM lineitem),
 b AS (SELECT *, CAST(sum(w) OVER (PARTITION BY l_orderkey) AS BIGINT) AS s FROM a), c AS (SELECT *, (t * w) // s AS f, (t * w) % s AS r FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY r DESC, l_linenumber, l_partkey, l_suppkey) AS k, t - sum(f) OVER (PARTITION BY l_orderkey) AS left_over FROM c)
 SELECT l_orderkey, l_linenumber, CAST(f + CASE WHEN k <= left_over THEN 1 ELSE 0 END AS BIGINT) AS share FROM d"""

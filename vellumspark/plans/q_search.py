@@ -122,7 +122,7 @@ SELECT stem, count(*) AS n, count(DISTINCT w) AS forms FROM s GROUP BY stem HAVI
 
 def cleaned(spark, sf):
     c = text.clean("text")
-    return table(spark, sf, "documents").select("doc_id", F.char_length(c).cast("long").alias("n"), F.sha2(c, 256).alias("sha"), text.slug(F.substring("text", 1, 120)).alias("slug"), text.clamp("text", 60).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", F.char_length(c).cast("long").alias("n"), F.sha2(c, 256).alias("sha"), text.slug("text").alias("slug"), text.clamp("text", 60).alias("short"))
 
 
 def _clean_sql(c: str) -> str:
@@ -133,7 +133,7 @@ def _clean_sql(c: str) -> str:
 
 
 CLEANED = f"""
-WITH c AS (SELECT doc_id, {_clean_sql('text')} AS c, trim(regexp_replace(translate(lower(text[1:120]), '{A}', '{P}'), '[^a-z0-9]+', '-', 'g'), '-') AS s, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents)
+WITH c AS (SELECT doc_id, {_clean_sql('text')} AS c, trim(regexp_replace(translate(lower(text), '{A}', '{P}'), '[^a-z0-9]+', '-', 'g'), '-') AS s, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents)
 SELECT doc_id, length(c) AS n, sha256(c) AS sha, CASE WHEN length(s) <= 80 THEN s ELSE trim(regexp_replace(s[1:81], '-[^-]*$', ''), '-') END AS slug,
 CASE WHEN length(x) <= 60 THEN x ELSE rtrim(regexp_replace(x[1:60], ' [^ ]*$', '')) || '…' END AS short FROM c
 """
@@ -200,7 +200,7 @@ def headers(spark, sf):
 
 
 HEADERS = r"""
-WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT DISTINCT source, doc_id, trim(regexp_replace(line, '\d', '#', 'g')) AS form FROM l),
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT DISTINCT source, doc_id, trim(regexp_replace(lower(line), '\d+', '#', 'g')) AS form FROM l),
 t AS (SELECT source, count(DISTINCT doc_id) AS n FROM l GROUP BY source)
 SELECT source, form, count(*) AS pages FROM f JOIN t USING (source) WHERE form <> '' AND length(form) <= 160 AND n >= 3 GROUP BY source, form, n HAVING count(*) > n * 0.05
 """
@@ -250,13 +250,13 @@ SELECT CASE WHEN n < 40 THEN 'too_short' WHEN n < 400 AND short > lines * 0.85 T
 
 
 def edit_scores(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(text.fold(F.substring("text", 1, 120)), "[^ -~]", "?").alias("a"))
+    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(text.fold("text"), "[^ -~]", "?").alias("a"))
     shifted = b.select((F.col("item_id") + 1).alias("item_id"), F.col("a").alias("b"))
     return b.join(shifted, "item_id").select("item_id", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b")), 6).alias("rate"))
 
 
 EDITS = f"""
-WITH b AS (SELECT item_id, regexp_replace(translate(lower(text[1:120]), '{A}', '{P}'), '[^ -~]', '?', 'g') AS a FROM benchmark)
+WITH b AS (SELECT item_id, regexp_replace(translate(lower(text), '{A}', '{P}'), '[^ -~]', '?', 'g') AS a FROM benchmark)
 SELECT c.item_id, levenshtein(c.a, b.a) AS distance, round(CAST(levenshtein(c.a, b.a) AS DOUBLE) / greatest(length(c.a), length(b.a)), 6) AS rate FROM b JOIN b c ON c.item_id = b.item_id + 1
 """
 
