@@ -5,7 +5,6 @@ import html as entities
 import re
 
 import numpy as np
-import xxhash
 
 from vellumspark.llm import html, linedup, neardup
 
@@ -79,25 +78,29 @@ def _distance(a, b):
 
 
 def test_line_dedup(spark):
+    """Edit similarity alone, over all pairs of lines."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
     spots = collections.defaultdict(list)
     for i in sorted(texts):
         for p, line in enumerate(texts[i].split("\n")):
-            if w := tuple(x for x in re.split("[^a-z\u0080-￿]+", line.lower()) if x):
+            if w := tuple(x for x in re.split("[^a-z0-9\u0080-\U0010ffff]+", line.lower()) if x):
                 spots[w].append((i, p))
-    lines, hashes = list(spots), []
-    for w in lines:
-        f = [x for x in w if len(x.encode()) > 3] or w
-        bits = [sum(xxhash.xxh64_intdigest(x.encode(), 42) >> b & 1 for x in f) * 2 > len(f) for b in range(63)]
-        hashes.append(sum(1 << b for b in range(63) if bits[b]))
-    h, u = np.array(hashes, np.uint64), Union()
+    lines, u = list(spots), Union()
+    sizes, bags = [len(w) for w in lines], [collections.Counter(w) for w in lines]
+    by_word = collections.defaultdict(list)
     for i, w in enumerate(lines):
         u.find(i)
-        for j in np.flatnonzero(np.bitwise_count(h[i + 1 :] ^ h[i]) <= 3) + i + 1:
-            most = int(max(len(w), len(lines[j])) * (1 - linedup.SIMILARITY) + 1e-9)
-            if abs(len(w) - len(lines[j])) <= most and _distance(w, lines[j]) <= most:
-                u.join(i, int(j))
+        for x in set(w):
+            by_word[x].append(i)
+    # a pair within `most` edits has all but `most` of the longer line's words in common, so it shares one of its most + 1 rarest
+    for i, w in enumerate(lines):
+        most_i = int(sizes[i] * 0.2 / 0.8 + 1)
+        near = {j for x in sorted(set(w), key=lambda x: len(by_word[x]))[: most_i + 1] for j in by_word[x] if j != i}
+        for j in near:
+            most = int(max(sizes[i], sizes[j]) * (1 - linedup.SIMILARITY) + 1e-9)
+            if abs(sizes[i] - sizes[j]) <= most and sum((bags[i] & bags[j]).values()) >= max(sizes[i], sizes[j]) - most and u.find(i) != u.find(j) and _distance(w, lines[j]) <= most:
+                u.join(i, j)
     groups = collections.defaultdict(list)
     for i, w in enumerate(lines):
         groups[u.find(i)] += spots[w]

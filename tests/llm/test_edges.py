@@ -155,7 +155,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").limit(12)
     one = sorted(decontamination.scan(spark, docs, items).collect(), key=lambda r: r.id)
     kept, cut = ([r.text for r in decontamination.remove(spark, docs, items, mode=m).orderBy("doc_id").collect()] for m in ("documents", "spans"))
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
     assert len(list(decontamination._blocks(items, "item_id", "text"))) > 3
     assert sorted(decontamination.scan(spark, docs, items).collect(), key=lambda r: r.id) == one
     assert [[r.text for r in decontamination.remove(spark, docs, items, mode=m).orderBy("doc_id").collect()] for m in ("documents", "spans")] == [kept, cut]

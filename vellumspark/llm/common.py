@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -39,9 +40,15 @@ class Scratch:
         self.n, self.live = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """`df` as a written table. Its shuffle files go as soon as it is written, since nothing runs the plan again."""
         self.n += 1
         at = f"{self.base}/{self.n}"
-        df.write.parquet(at)
+        was = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._vellum_at = at
         self.live[at] = True
