@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, read
 
-#: Words that a worker remembers; at the bound it starts afresh.
-MEMO = 700_000
+#: Words that a worker remembers, and states that it adds to those of the vocabulary's own words; at the bounds it starts afresh.
+MEMO, STATES = 350_000, 50_000
 
 #: What str.split() takes for space and the tokenizer doesn't.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -166,7 +166,7 @@ class Automaton:
 
     def path(self, word: str) -> list[int]:
         """The tokens of one pre-split word."""
-        if len(self.states) > self.compiled + MEMO:  # forget rows that texts have asked for
+        if len(self.states) > self.compiled + STATES:  # forget rows that texts have asked for
             for state in self.states[self.compiled :]:
                 del self.number[state]
             del self.states[self.compiled :], self.last[self.compiled :]
