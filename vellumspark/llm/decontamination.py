@@ -31,13 +31,26 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Hashes(dict):
-    """64-bit hashes of words, filled on first use."""
+    """Numbers of words, and by number their hashes and whether the benchmark has them; filled on first use."""
+
+    def __init__(self, known: np.ndarray):
+        super().__init__()
+        self.known, self.hash, self.has = known, np.zeros(MEMO, np.uint64), np.zeros(MEMO, bool)
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
+        n = self[word] = len(self)
+        self.hash[n] = h = np.uint64(xxhash.xxh64_intdigest(word))
+        i = int(np.searchsorted(self.known, h))
+        self.has[n] = i < len(self.known) and self.known[i] == h
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of a text's words. The table starts afresh before it would overflow; a longer text than it holds makes it grow."""
+        if len(self) + len(words) > len(self.hash):
+            self.clear()
+            if len(words) > len(self.hash):
+                self.hash, self.has = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
+        return np.array(list(map(self.__getitem__, words)), np.int64)
 
 
 def rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -53,7 +66,8 @@ class Windows:
     """Every window of the items as a sorted array of hashes; a hit is verified on the words, which are kept as text."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        self.names, hashes = [i for i, _ in items], Hashes()
+        self.names = [i for i, _ in items]
+        alone: list[np.ndarray] = []
         self.words: list[tuple[bytes, np.ndarray]] = []  # per item: its words with one space between, and where each begins (and one past the end)
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, (_, text) in enumerate(items):
@@ -61,35 +75,45 @@ class Windows:
             self.words.append((b" ".join(w), np.cumsum([0, *(len(x) + 1 for x in w)], dtype=np.int64).astype(np.int32)))
             if w:
                 k = min(size, len(w))
-                h = rolled(np.array(list(map(hashes.__getitem__, w)), np.uint64), k)
+                own = np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
+                alone.append(np.unique(own))
+                h = rolled(own, k)
                 found.setdefault(k, []).append((h, np.full(len(h), n, np.int32), np.arange(len(h), dtype=np.int32)))
         self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k, parts in found.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
             self.found[k] = (h[order], item[order], at[order])
+        self.known = np.unique(np.concatenate(alone)) if alone else np.zeros(0, np.uint64)
 
     def scan(self, text: str | None, hashes: Hashes) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, hit spans [from, to) in words (merged), items that occur."""
         w = words(text)
         spans, items = [], set()
         if w and self.found:
-            h = np.array(list(map(hashes.__getitem__, w)), np.uint64)
+            at_words = hashes.of(w)
+            unknown = np.concatenate([[0], np.cumsum(~hashes.has[at_words])])
+            h = None
             for k, (known, item, at) in self.found.items():
                 if len(w) < k:
                     continue
-                mine = rolled(h, k)
+                maybe = np.flatnonzero(unknown[k:] == unknown[: len(w) - k + 1])  # windows of words that the benchmark has
+                if not len(maybe):
+                    continue
+                h = hashes.hash[at_words] if h is None else h
+                mine = rolled(h, k)[maybe]
                 low = np.searchsorted(known, mine)
-                for i in np.flatnonzero(known[np.minimum(low, len(known) - 1)] == mine):
-                    window, j, hit = b" ".join(w[i : i + k]), int(low[i]), False
-                    while j < len(known) and known[j] == mine[i]:
+                for x in np.flatnonzero(known[np.minimum(low, len(known) - 1)] == mine):
+                    i = int(maybe[x])
+                    window, j, hit = b" ".join(w[i : i + k]), int(low[x]), False
+                    while j < len(known) and known[j] == mine[x]:
                         body, begins = self.words[item[j]]
                         if body[begins[at[j]] : begins[at[j] + k] - 1] == window:
                             items.add(int(item[j]))
                             hit = True
                         j += 1
                     if hit:
-                        spans.append((int(i), int(i) + k))
+                        spans.append((i, i + k))
         return len(w), union(spans), items
 
 
@@ -124,7 +148,7 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
 
 def _pass(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(table.value.known)
         for batch in batches:
             counts, spans, items = [], [], []
             for text, s0, i0 in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
@@ -180,7 +204,7 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mode: str
         table, at = spark.sparkContext.broadcast(Windows(block)), docs.columns.index(text_col)
 
         def run(batches, table=table, at=at):
-            hashes = Hashes()
+            hashes = Hashes(table.value.known)
             for batch in batches:
                 yield batch.filter(pa.array([not table.value.scan(t, hashes)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
@@ -199,7 +223,7 @@ def _cut_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cols:
         table = spark.sparkContext.broadcast(Windows(block))
 
         def find(batches, table=table):
-            hashes = Hashes()
+            hashes = Hashes(table.value.known)
             for batch in batches:
                 spans = []
                 for text, before in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
