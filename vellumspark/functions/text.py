@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented lower-case Latin letters and their plain forms, one sign for one sign.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+def _plain(c: str) -> str:
+    """A lower-case letter without its accents; a sign that is none, or would grow, as it is."""
+    base = unicodedata.normalize("NFD", c)[0]
+    return base if len(base.lower()) == 1 and unicodedata.category(base).startswith("L") else c
+
+
+#: Accented lower-case letters of the Latin, Greek and Cyrillic blocks and their plain forms by decomposition, one sign for one sign.
+ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]) if c == c.lower() and _plain(c) != c)
+PLAIN = "".join(map(_plain, ACCENTED))
 
 #: Function words of each language, by which a text's language is voted.
 STOP_WORDS = {
@@ -89,8 +97,15 @@ def host(c: Column | str) -> Column:
     return F.lower(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-#: Query parameters that only track the reader.
-TRACKING = r"^(utm_[a-z]+|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|ref|spm|yclid)="
+#: Query parameters that only track the reader, beginnings of such, and hosts on which ref is one.
+TRACKERS = (
+    "fbclid gclid gclsrc dclid msclkid mc_cid mc_eid igshid ref_src ref_url ref_ yclid twclid wbraid gbraid ttclid li_fat_id srsltid _gl _ga"
+    " _hsenc _hsmi vero_id vero_conv s_cid spm snr ser eid c2id mkt_tok trackingid refid"
+)
+TRACKER_BEGINNINGS = "utm_ mc_ _hs vero_ trk"
+REF_HOSTS = "producthunt.com etsy.com medium.com indiehackers.com"
+TRACKING = "(?i)^(?:(?:" + "|".join(TRACKER_BEGINNINGS.split()) + ")[^=]*|" + "|".join(TRACKERS.split()) + ")(?:=|$)"
+REF_HOST = r"(?:^|\.)(?:" + "|".join(REF_HOSTS.replace(".", r"\.").split()) + ")$"
 
 
 def url_key(c: Column | str) -> Column:
@@ -99,7 +114,7 @@ def url_key(c: Column | str) -> Column:
     bare = F.regexp_replace(c, "#.*$", "")
     path = F.regexp_replace(F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*", ""), r"\?.*$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
+    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING) & ~(p.rlike("(?i)^ref(=|$)") & host(c).rlike(REF_HOST)))), "&")
     where = F.concat(F.lit("https://"), F.regexp_replace(host(c), r"^www\.", ""), F.regexp_replace(path, "/+$", ""))
     return F.when(kept == "", where).otherwise(F.concat(where, F.lit("?"), kept))
 

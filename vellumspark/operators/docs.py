@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,21 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Chunk size, overlap, shortest tail, and how strongly each kind of break is preferred.
+#: Chunk size, overlap, shortest tail, and how strongly each kind of break is preferred: white space after a sentence or clause, after a comma, and any.
 SIZE, OVERLAP, MIN_TAIL = 900, 150, 200
-BREAKS = (("\n\n", 5), ("\n", 4), (". ", 3), ("; ", 2), (", ", 2), (" ", 1))
+BREAKS = ((r"\n\n", 5), (r"(?<=[.!?…;:])\s+", 3), (r"\n", 4), (r"(?<=,)\s+", 2), (r"\s+", 1))
+EARLY = 0.4
+_BREAK = re.compile("|".join(f"({p})" for p, _ in sorted(BREAKS, key=lambda b: (b[0] != r"\n\n", b[0] != r"\n"))))
+_STRENGTH = [w for _, w in sorted(BREAKS, key=lambda b: (b[0] != r"\n\n", b[0] != r"\n"))]
 
 
 def cut_points(text: str, size: int = SIZE, overlap: int = OVERLAP, tail: int = MIN_TAIL) -> list[tuple[int, int]]:
-    """[start, end) of each chunk: the best break in a chunk's last three fifths, the later one among equals; a short tail joins the last chunk."""
+    """[start, end) of each chunk: it ends after its strongest break that doesn't end in its first two fifths, the last of equals; a short tail joins the last chunk."""
     overlap, out, at, n = min(overlap, size // 2), [], 0, len(text)
     while n - at > size + tail:
-        low, high = at + size * 2 // 5, at + size
-        end = high
-        for mark, _ in sorted(BREAKS, key=lambda b: -b[1]):
-            if (k := text.rfind(mark, low, high)) >= 0:
-                end = k + len(mark)
-                break
+        window, best = text[at : at + size], (0, size)
+        for m in _BREAK.finditer(window):
+            if m.end() >= size * EARLY:
+                best = max(best, (_STRENGTH[m.lastindex - 1], m.end()))
+        end = at + best[1]
         out.append((at, end))
         back = max(at + 1, end - overlap)
         k = text.find(" ", back, end)

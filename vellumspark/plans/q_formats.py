@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumspark.functions import formats
+from vellumspark.functions import formats, text
 from vellumspark.session import table
 
 from .q_extract import _values
@@ -200,7 +200,20 @@ def listing(spark, sf):
 
 LISTING = "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100"
 
+LINKS = [
+    ("https://www.Shop.example/a/?utm_source=x&id=7#top", "https://shop.example/a?id=7"), ("http://etsy.com/item?ref=home&q=2", "https://etsy.com/item?q=2"), ("http://forum.example/t?ref=9", "https://forum.example/t?ref=9"),
+    ("https://x.example/p?b=2&a=1&trkCampaign=z&_gl=1&mc_any=4", "https://x.example/p?a=1&b=2"), ("https://x.example/?spm=1", "https://x.example"), ("https://x.example/p?preference=1", "https://x.example/p?preference=1"),
+]
+
+
+def link_keys(spark, sf):
+    return spark.createDataFrame([(a,) for a, _ in LINKS], "url string").select("url", text.url_key("url").alias("key"))
+
+
+LINKS_SQL = _values("url key", LINKS, "VARCHAR VARCHAR")
+
 QUERIES = {
+    "link_keys": (link_keys, LINKS_SQL),
     "to_srt": (srt, SRT), "to_vtt": (vtt, VTT), "parse_subtitles": (parsed, PARSED), "cues_to_text": (speech, SPEECH), "build_ics": (ics, ICS), "to_csv": (csv, CSV), "id_time": (ids, IDS), "version_order": (versions, VERSIONS_SQL), "address_class": (addresses, ADDRESSES_SQL),
     "script_of": (scripts, SCRIPTS_SQL), "decimal_mark": (marks, MARKS), "resolve_year": (years, YEARS), "spoken_date": (spoken, SPOKEN_SQL), "parse_qty": (quantities, QUANTITIES_SQL), "fiscal_year": (fiscal, FISCAL_SQL), "sha_users": (copies, COPIES), "count_documents": (source_counts, SOURCE_COUNTS),
     "bit_distance": (bit_distance, BIT_DISTANCE), "deadline_page": (listing, LISTING),

@@ -172,10 +172,10 @@ def url_keys(spark, sf):
 URLS = r"""
 WITH a AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS b, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages),
 c AS (SELECT *, 'https://' || regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(regexp_replace(b, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*', ''), '\?.*$', ''), '/+$', '') AS w,
- array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|ref|spm|yclid)='))), '&') AS q FROM a)
+ array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, 'TRACKING') AND NOT (regexp_matches(p, '(?i)^ref(=|$)') AND regexp_matches(host, 'REF_HOST')))), '&') AS q FROM a)
 SELECT page_id, CASE WHEN q = '' THEN w ELSE w || '?' || q END AS key, host,
  CASE WHEN regexp_matches(host, '\.(co|com|org|net|gob|gov|ac|edu)\.[a-z]{2}$') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM c
-"""
+""".replace("TRACKING", text.TRACKING).replace("REF_HOST", text.REF_HOST)
 
 
 def url_dedupe(spark, sf):
