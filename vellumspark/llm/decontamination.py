@@ -15,11 +15,9 @@ from .common import Scratch, prepare, read
 
 WINDOW = 10
 SPANS = "array<struct<start:int,end:int>>"
-#: Benchmark bytes that one broadcast may hold, with up to four times as much for its windows. A larger benchmark is scanned in
-#: blocks of items, one pass over the documents each.
-BLOCK_BYTES = 16 << 20
-#: Words whose hashes a worker remembers; at the bound it starts afresh.
-MEMO = 300_000
+#: Benchmark bytes that one broadcast may hold: with its words and windows some 120 MB in a worker at the most. A larger benchmark is
+#: scanned in blocks of items, one pass over the documents each.
+BLOCK_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes that are part of a word keep their value (capitals lowered); all other ASCII becomes a space.
@@ -30,29 +28,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-class Hashes(dict):
-    """Numbers of words, and by number their hashes and whether the benchmark has them; filled on first use."""
-
-    def __init__(self, known: np.ndarray):
-        super().__init__()
-        self.known, self.hash, self.has = known, np.zeros(MEMO, np.uint64), np.zeros(MEMO, bool)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.hash[n] = h = np.uint64(xxhash.xxh64_intdigest(word))
-        i = int(np.searchsorted(self.known, h))
-        self.has[n] = i < len(self.known) and self.known[i] == h
-        return n
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The numbers of a text's words. The table starts afresh before it would overflow; a longer text than it holds makes it grow."""
-        if len(self) + len(words) > len(self.hash):
-            self.clear()
-            if len(words) > len(self.hash):
-                self.hash, self.has = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
-        return np.array(list(map(self.__getitem__, words)), np.int64)
-
-
 def rolled(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of each window of `size` words."""
     out = np.zeros(max(0, len(h) - size + 1), np.uint64)
@@ -67,7 +42,8 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
         self.names = [i for i, _ in items]
-        alone: list[np.ndarray] = []
+        self.ids: dict[bytes, int] = {}  # the words that the items have, and by number their hashes
+        self.hash: list[int] | np.ndarray = []
         self.words: list[tuple[bytes, np.ndarray]] = []  # per item: its words with one space between, and where each begins (and one past the end)
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, (_, text) in enumerate(items):
@@ -75,33 +51,47 @@ class Windows:
             self.words.append((b" ".join(w), np.cumsum([0, *(len(x) + 1 for x in w)], dtype=np.int64).astype(np.int32)))
             if w:
                 k = min(size, len(w))
-                own = np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
-                alone.append(np.unique(own))
-                h = rolled(own, k)
+                h = rolled(np.array([self.hash_of(x) for x in w], np.uint64), k)
                 found.setdefault(k, []).append((h, np.full(len(h), n, np.int32), np.arange(len(h), dtype=np.int32)))
-        self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64, np.ndarray]] = {}
         for k, parts in found.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
-            self.found[k] = (h[order], item[order], at[order])
-        self.known = np.unique(np.concatenate(alone)) if alone else np.zeros(0, np.uint64)
-
-    def scan(self, text: str | None, hashes: Hashes) -> tuple[int, list[tuple[int, int]], set[int]]:
+            # a table of the hashes' first bits, at most a sixteenth full, tells of most windows that they are none
+            bits = max(10, int(16 * len(h)).bit_length())
+            first = np.zeros(1 << bits, bool)
+            first[h >> np.uint64(64 - bits)] = True
+            self.found[k] = (h[order], item[order], at[order], np.uint64(64 - bits), first)
+        self.hash = np.array([*self.hash, 0], np.uint64)  # the last is that of unknown words
+
+    def hash_of(self, word: bytes) -> int:
+        n = self.ids.get(word)
+        if n is None:
+            n = self.ids[word] = len(self.ids)
+            self.hash.append(xxhash.xxh64_intdigest(word))
+        return self.hash[n]
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, hit spans [from, to) in words (merged), items that occur."""
         w = words(text)
         spans, items = [], set()
         if w and self.found:
-            at_words = hashes.of(w)
-            unknown = np.concatenate([[0], np.cumsum(~hashes.has[at_words])])
+            get = self.ids.get
+            at_words = np.array([get(x, -1) for x in w], np.int64)
+            unknown = np.concatenate([[0], np.cumsum(at_words < 0)])
             h = None
-            for k, (known, item, at) in self.found.items():
+            for k, (known, item, at, shift, first) in self.found.items():
                 if len(w) < k:
                     continue
                 maybe = np.flatnonzero(unknown[k:] == unknown[: len(w) - k + 1])  # windows of words that the benchmark has
                 if not len(maybe):
                     continue
-                h = hashes.hash[at_words] if h is None else h
-                mine = rolled(h, k)[maybe]
+                h = self.hash[at_words] if h is None else h
+                mine = rolled(h, k)
+                maybe = maybe[first[mine[maybe] >> shift]]
+                if not len(maybe):
+                    continue
+                mine = mine[maybe]
                 low = np.searchsorted(known, mine)
                 for x in np.flatnonzero(known[np.minimum(low, len(known) - 1)] == mine):
                     i = int(maybe[x])
@@ -148,11 +138,10 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
 
 def _pass(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes(table.value.known)
         for batch in batches:
             counts, spans, items = [], [], []
             for text, s0, i0 in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
-                n, s, who = table.value.scan(text, hashes)
+                n, s, who = table.value.scan(text)
                 counts.append(n)
                 spans.append([{"start": a, "end": b} for a, b in union(s + [(x["start"], x["end"]) for x in s0 or ()])])
                 items.append(sorted({table.value.names[i] for i in who} | set(i0 or ())))
@@ -204,9 +193,8 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mode: str
         table, at = spark.sparkContext.broadcast(Windows(block)), docs.columns.index(text_col)
 
         def run(batches, table=table, at=at):
-            hashes = Hashes(table.value.known)
             for batch in batches:
-                yield batch.filter(pa.array([not table.value.scan(t, hashes)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not table.value.scan(t)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
@@ -223,11 +211,10 @@ def _cut_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cols:
         table = spark.sparkContext.broadcast(Windows(block))
 
         def find(batches, table=table):
-            hashes = Hashes(table.value.known)
             for batch in batches:
                 spans = []
                 for text, before in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                    s = table.value.scan(text, hashes)[1] + [(x["start"], x["end"]) for x in before or ()]
+                    s = table.value.scan(text)[1] + [(x["start"], x["end"]) for x in before or ()]
                     spans.append([{"start": a, "end": b} for a, b in union(s)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], names=batch.schema.names)
 
