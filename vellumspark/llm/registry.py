@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chats, decontamination, html, linedup, neardup, quality, sharding, tokencounts, topk
+from . import bpe, chats, decontamination, hardneg, html, linedup, neardup, quality, sharding, tokencounts, topk, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,11 +17,14 @@ def queries() -> dict:
         "op8_html": html.op8_html,
         "op9_chat_format": chats.op9_chat_format,
         "op10_token_counts": tokencounts.op10_token_counts,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_hard_negatives": hardneg.op12_hard_negatives,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3, "op5_decontamination": OP5, "op9_chat_format": OP9}
+    return {"op3_top_k": OP3, "op5_decontamination": OP5, "op9_chat_format": OP9, "op12_hard_negatives": OP12}
 
 
 #: Words, windows and hits by arrays; windows are compared as text with a separator that no word holds.
@@ -55,6 +58,19 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.y = c.y AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0
+), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+"""
+
 OP9 = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (

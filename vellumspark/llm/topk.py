@@ -43,10 +43,15 @@ def pack(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return sound(vectors, id_col, vec_col).mapInArrow(run, "dim int, ids binary, m binary, top double")
 
 
+def finite(rows: DataFrame) -> DataFrame:
+    """The rows whose vector `v` (doubles) is there and holds neither null nor non-finite components."""
+    bad: Column = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.col("v").isNotNull() & ~bad)
+
+
 def sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) of the rows that take part: an id, and a vector of finite components."""
-    bad: Column = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
+    return finite(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull()))
 
 
 class Queries:
