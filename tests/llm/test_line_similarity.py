@@ -46,3 +46,13 @@ def test_crowded_runs(spark, monkeypatch):
     rows += [(200, " ".join(head[:5] + tail[:5])), (201, " ".join(head[:5] + ["zz"] + tail[1:5]))]
     got = {r.doc_id: r._n_removed for r in linedup.clean(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i in sorted(got) if got[i]] == [101, 201]
+
+
+def test_no_link_is_lost_in_crowds(spark):
+    """However many lines differ in one word, all but one go; so does one that lacks the word, and lines of a few words said again and again."""
+    rows = [(i, f"user n{i} logged in to system") for i in range(5000)] + [(6000, "user logged in to system"), (6001, "another user n7 logged in to system")]
+    rows += [(10_000 + i, f"one x{i} of the many many things that we say and so on and on it goes here again today") for i in range(5000)]
+    rows += [(20_000 + i, f"ha ha ha ha ha ha ha ha q{i} r{i}") for i in range(300)]
+    rows += [(30_000 + i, f"{i} b{i}x c d{i}x e") for i in range(50)]
+    got = {r.doc_id: r._n_removed for r in linedup.clean(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if not got[i]] == [0, 10_000, 20_000, *range(30_000, 30_050)]

@@ -5,11 +5,12 @@ Lines with the same words are one node. Nodes are linked if their edit similarit
 
 SimHash blocks can't find such pairs: a fifth of the words changed turns 13 of 64 bits on average, and fourteen blocks of 4 or 5 bits
 select nothing; at a distance of 3 bits only 17 % of the similar pairs of a test table were found. So lines are joined on what similar
-ones must share: two lines of up to nine words are equal after one word is taken out of either, others share runs of three words,
-of which up to GRAMS are taken by a hash, all of them up to GRAMS + 2 words. A pair at 0.8 with changes drawn at random
-shares none of 16 with a probability of 1 in 800, with changes spread evenly 1 in 100. Parity sketches, which leave out no similar
-pair, and lengths are compared before texts move. A bucket first compares its members with a few of them; pairs are formed only
-between lines that are in different groups after that, and only where the sketches allow it.
+ones must share. Lines of up to nine words are similar if one word was replaced or left out: lines that are equal but for the word at one
+place are linked to the least of them, and a line that lacks the word to that one too, without any comparison and whatever their number. Others
+share runs of three words, of which up to GRAMS are taken by a hash, all of them up to GRAMS + 2 words; of these, similar lines share two at
+least, repeated runs counted. A longer pair at 0.8 with changes drawn at random shares none of 16 with a probability of 1 in 800, with changes
+spread evenly 1 in 100. Parity sketches, which leave out no similar pair, and lengths are compared before texts move. A bucket first compares
+its members with a few of them; pairs are formed only between lines that are in different groups after that, and only where the sketches allow it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import Scratch, components, read
 GRAMS = 16
 #: Lines of this many words have runs, as a line of ten may be similar to them; lines of up to DELETED words are similar within one edit.
 SHORT, DELETED = 8, 9
-#: Lines of a bucket that are compared as they are. A larger bucket is split by pairs of runs: of the runs that two similar lines of ten
-#: words and more share, one is no crowded bucket or two are.
+#: Lines of a bucket that are compared as they are. A larger bucket is split by pairs of runs: similar lines of up to GRAMS + 2 words share two
+#: runs at least, so one of them is no crowded bucket or the lines meet in that of the pair.
 CROWD = 128
 SIMILARITY = 0.8
 
@@ -40,29 +41,25 @@ def hashes(w: Column) -> Column:
 
 
 def keys(h: Column, n: Column) -> Column:
-    """Hashes by which a line is found.
-
-    From SHORT words, up to GRAMS runs of three words, those with few short words first, as these are the rarer ones; then in the order
-    of the hash. Up to DELETED words, the line and the line without each of its words: two such lines that are one edit apart share
-    one. Lines of less than four words are similar to their equals only.
-    """
+    """Hashes by which a line is found, from SHORT words: up to GRAMS runs of three words, those with few short words first, as these are the
+    rarer ones; then in the order of the hash. Up to GRAMS + 2 words, a run that comes again is another run."""
     def run(x: Column, i: Column) -> Column:
         y, z = F.get(h, i + 1), F.get(h, i + 2)
         short = sum((v.bitwiseAND(F.lit(1)) for v in (y, z)), x.bitwiseAND(F.lit(1)))
         return F.shiftleft(short.cast("long"), 61).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x, y, z), 3))
 
-    runs = F.slice(F.sort_array(F.array_distinct(F.transform(F.slice(h, 1, F.greatest(n - 2, F.lit(0))), run))), 1, GRAMS)
+    runs = F.sort_array(F.transform(F.slice(h, 1, F.greatest(n - 2, F.lit(0))), run))
+    again = F.filter(runs, lambda x, i: (i > 0) & (F.get(runs, i - 1) == x))
+    numbered = F.transform(runs, lambda x, i: F.when((i > 0) & (F.get(runs, i - 1) == x), F.xxhash64(x, i - F.array_position(runs, x))).otherwise(x))
+    return F.when(n < SHORT, F.array().cast("array<bigint>")).when((n > GRAMS + 2) | (F.size(again) == 0), F.slice(F.array_distinct(runs), 1, GRAMS)).otherwise(numbered)
+
+
+def deletions(h: Column, n: Column) -> Column:
+    """(r, place): up to DELETED words, from five, a hash of the line without the word at each place; below that a hash of the whole line, from four words, with the place -1."""
     # a hash of two arrays is that of their elements in a row
-    without = F.transform(h, lambda x, i: F.xxhash64(F.lit(7), F.slice(h, F.lit(1), i), F.slice(h, i + 2, n)))
-    whole = F.array(F.xxhash64(F.lit(7), h))
-    none = F.array().cast("array<bigint>")
-    return (
-        F.when(n > DELETED, runs)
-        .when(n >= SHORT, F.array_distinct(F.concat(runs, whole, without)))
-        .when(n > 4, F.array_distinct(F.concat(whole, without)))
-        .when(n == 4, whole)
-        .otherwise(none)
-    )
+    without = F.transform(h, lambda x, i: F.struct(F.xxhash64(F.lit(7), F.slice(h, F.lit(1), i), F.slice(h, i + 2, n)).alias("r"), i.cast("int").alias("place")))
+    whole = F.array(F.struct(F.xxhash64(F.lit(7), h).alias("r"), F.lit(-1).alias("place")))
+    return F.when(n == 4, whole).when((n > 4) & (n < DELETED), F.concat(without, whole)).when(n == DELETED, without)
 
 
 def parity(h: Column, shift: int = 8) -> Column:
@@ -125,18 +122,19 @@ def removals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     h = w.select("id", "dk", "pos", F.size("w").alias("n"), hashes(F.col("w")).alias("h"))
     h = h.select("id", "dk", "pos", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), "n", "h")
     # a filter before the table would be pushed below the projection and cut every line a second time
-    lines = scratch.keep(h.select("id", "dk", "pos", "k1", "k2", "n", parity(F.col("h")).alias("p"), keys(F.col("h"), F.col("n")).alias("keys")))
+    lines = scratch.keep(h.select("id", "dk", "pos", "k1", "k2", "n", parity(F.col("h")).alias("p"), keys(F.col("h"), F.col("n")).alias("keys"), deletions(F.col("h"), F.col("n")).alias("short")))
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "dk", "pos")
-    found = scratch.keep(lines.where("n > 0").groupBy("k1", "k2").agg(F.min(spot).alias("spot"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("keys").alias("keys"), F.count("*").alias("times")))
+    found = scratch.keep(lines.where("n > 0").groupBy("k1", "k2").agg(F.min(spot).alias("spot"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("keys").alias("keys"), F.first("short").alias("short"), F.count("*").alias("times")))
     # runs are most of both tables, so they go as soon as they have been used
     kept = scratch.keep(lines.where("n > 0").select("id", "dk", "pos", "k1", "k2"))
     scratch.drop(lines)
     lines = kept
 
+    edges = scratch.keep(_one_word(found))
     block = _buckets(scratch, found.select("k1", "n", "p", F.explode("keys").alias("key")))
     near = possible(F.col("x.p"), F.col("x.n"), F.col("y.p"), F.col("y.n"))
     held = scratch.keep(block.alias("x").join(block.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.k1") != F.col("y.k1")) & near, "left_semi"))
-    nodes = scratch.keep(found.drop("n", "p", "keys"))
+    nodes = scratch.keep(found.drop("n", "p", "keys", "short"))
     scratch.drop(found)
     live = scratch.keep(nodes.join(held.select("k1").distinct(), "k1", "left_semi").select("k1", "spot"))
     full = scratch.keep(_texts(slim, live))
@@ -145,7 +143,7 @@ def removals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     lead = _leaders(held.join(own.select("k1", "pop"), "k1"))
     star = held.select("key", "k1", "n", "p").join(lead, "key").where("b <> k1").where(possible(F.col("p"), F.col("n"), F.col("pb"), F.col("nb")))
     star = scratch.keep(star.select(F.least("b", "k1").alias("a"), F.greatest("b", "k1").alias("b")).distinct())
-    edges = scratch.keep(_confirmed(star, full))
+    edges = scratch.keep(_confirmed(star, full).union(edges).distinct())
     roots = components(spark, edges, scratch)
     named = held.select("key", "k1", "n", "p").join(roots.select(F.col("node").alias("k1"), "root"), "k1", "left").select("key", "k1", "n", "p", F.coalesce("root", "k1").alias("label"))
     named = scratch.keep(named)
@@ -171,6 +169,16 @@ def removals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
+def _one_word(found: DataFrame) -> DataFrame:
+    """(a, b): lines of four to nine words that are one word apart, as stars: each to the least of those that are equal but for the word at a place, and the line without that word to the same."""
+    e = found.select("k1", F.explode("short").alias("s")).select("k1", "s.r", "s.place")
+    low = e.groupBy("r", "place").agg(F.min("k1").alias("m"), F.count("*").alias("lines"))
+    replaced = e.where("place >= 0").join(low.where("lines > 1 AND place >= 0").select("r", "place", "m"), ["r", "place"]).where("k1 <> m")
+    whole = low.where("place < 0").select("r", F.col("m").alias("k1"))
+    inserted = low.where("place >= 0").select("r", "m").join(whole, "r").where("k1 <> m")
+    return replaced.select("m", "k1").union(inserted.select("m", "k1")).select(F.least("m", "k1").alias("a"), F.greatest("m", "k1").alias("b")).distinct()
+
+
 def _buckets(scratch: Scratch, block: DataFrame) -> DataFrame:
     """(k1, n, p, key, lines) with every bucket of several lines, crowded ones split by the other crowded runs of their lines."""
     counts = scratch.keep(block.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
