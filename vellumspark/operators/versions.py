@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHANGES = "kind string, before_at int, before array<string>, after_at int, after array<string>"
+from .editscript import CHANGES, changes
 
 
 def compare(before: DataFrame, after: DataFrame, key: str, text: str, words: bool = False) -> DataFrame:
     """(key, kind, before_at, before, after_at, after): what changed between two texts of a key: replace, delete or insert of whole lines or words.
 
     White space within a line and empty lines do not count; digits, signs, case and repeated lines do. A key that one side lacks, or whose
-    text is null there, is compared with nothing. Each pair of texts is one row of a join and is aligned in an Arrow batch, so a group holds
+    text is null there, is compared with nothing. The script is the least one (editscript.changes). Each pair of texts is one row of a join and is aligned in an Arrow batch, so a group holds
     one pair whatever the tables' size.
     """
     kind = before.schema[key].dataType
@@ -32,9 +30,7 @@ def compare(before: DataFrame, after: DataFrame, key: str, text: str, words: boo
             out = []
             for k, a, b in zip(pdf[key], pdf["_a"], pdf["_b"], strict=True):
                 left, right = units(a), units(b)
-                for what, i, j, p, q in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-                    if what != "equal":
-                        out.append((k, what, i, left[i:j], p, right[p:q]))
+                out += [(k, *change) for change in changes(left, right)]
             yield pd.DataFrame(out, columns=[key, "kind", "before_at", "before", "after_at", "after"])
 
     return pairs.mapInPandas(run, f"`{key}` {kind.simpleString()}, {CHANGES}")

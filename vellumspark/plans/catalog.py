@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_calendar, q_docs, q_extract, q_formats, q_pieces, q_relate, q_scalar, q_search, q_stream, q_versions
+from . import q_calendar, q_docs, q_extract, q_formats, q_links, q_pieces, q_relate, q_scalar, q_search, q_stream, q_versions, q_watch
 
-MODULES = (q_search, q_relate, q_calendar, q_docs, q_extract, q_formats, q_pieces, q_scalar, q_stream, q_versions)
+MODULES = (q_search, q_relate, q_calendar, q_docs, q_extract, q_formats, q_links, q_pieces, q_scalar, q_stream, q_versions, q_watch)
 
 
 def queries() -> dict:
