@@ -15,6 +15,8 @@ its members with a few of them; pairs are formed only between lines that are in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,23 +37,32 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), "[^a-z0-9\\x{80}-\\x{10ffff}]+"), "")
 
 
+#: A word's hash has 57 bits; the bit SHORT_BIT tells words of four signs at most.
+SHORT_BIT = 1 << 60
+
+
 def hashes(w: Column) -> Column:
-    """A hash of each word; its lowest bit tells words of four signs at most."""
-    return F.transform(w, lambda x: F.shiftleft(F.xxhash64(x), 1).bitwiseOR((F.octet_length(x) <= 4).cast("long")))
+    """A hash of each word, SHORT_BIT set for words of four signs at most."""
+    return F.transform(w, lambda x: F.shiftrightunsigned(F.xxhash64(x), 7).bitwiseOR(F.when(F.octet_length(x) <= 4, F.lit(SHORT_BIT)).otherwise(F.lit(0).cast("long"))))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def keys(h: Column, n: Column) -> Column:
     """Hashes by which a line is found, from SHORT words: up to GRAMS runs of three words, those with few short words first, as these are the
-    rarer ones; then in the order of the hash. Up to GRAMS + 2 words, a run that comes again is another run."""
-    def run(x: Column, i: Column) -> Column:
-        y, z = F.get(h, i + 1), F.get(h, i + 2)
-        short = sum((v.bitwiseAND(F.lit(1)) for v in (y, z)), x.bitwiseAND(F.lit(1)))
-        return F.shiftleft(short.cast("long"), 61).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x, y, z), 3))
+    rarer ones; then in the order of the hash. Up to GRAMS + 2 words, a run that comes again is another run.
 
-    runs = F.sort_array(F.transform(F.slice(h, 1, F.greatest(n - 2, F.lit(0))), run))
-    again = F.filter(runs, lambda x, i: (i > 0) & (F.get(runs, i - 1) == x))
-    numbered = F.transform(runs, lambda x, i: F.when((i > 0) & (F.get(runs, i - 1) == x), F.xxhash64(x, i - F.array_position(runs, x))).otherwise(x))
-    return F.when(n < SHORT, F.array().cast("array<bigint>")).when((n > GRAMS + 2) | (F.size(again) == 0), F.slice(F.array_distinct(runs), 1, GRAMS)).otherwise(numbered)
+    A run is x + 2 y + 4 z of its words' hashes, which lie so that no sum runs over; its highest bits grow with its short words.
+    """
+    rest = n - 2
+    two = F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(2), rest), lambda x, y: x + F.shiftleft(y, 1))
+    runs = F.sort_array(F.zip_with(two, F.slice(h, F.lit(3), rest), lambda x, z: x + F.shiftleft(z, 2)))
+    again = lambda r: F.transform(r, lambda x, i: F.when((i > 0) & (F.get(r, i - 1) == x), F.xxhash64(x, i - F.array_position(r, x))).otherwise(x))
+    kept = F.when(n > GRAMS + 2, F.slice(F.array_distinct(runs), 1, GRAMS)).otherwise(let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), r).otherwise(again(r))))
+    return F.when(n < SHORT, F.array().cast("array<bigint>")).otherwise(kept)
 
 
 def deletions(h: Column, n: Column) -> Column:
@@ -62,7 +73,7 @@ def deletions(h: Column, n: Column) -> Column:
     return F.when(n == 4, whole).when((n > 4) & (n < DELETED), F.concat(without, whole)).when(n == DELETED, without)
 
 
-def parity(h: Column, shift: int = 8) -> Column:
+def parity(h: Column, shift: int = 5) -> Column:
     """64 bits: whether the words that fall on a bit are odd in number. An edit of one word changes two bits at most."""
     return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(63)).cast("int"))))
 
