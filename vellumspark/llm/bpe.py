@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, read
 
-#: Words that a worker remembers, and states that it adds to those of the vocabulary's own words; at the bounds it starts afresh.
-MEMO, STATES = 350_000, 50_000
+#: Words that a worker remembers, signs of a word that it does, and states that it adds to those of the vocabulary's own words; at the bounds it starts afresh, within a word too.
+MEMO, LONG, STATES = 350_000, 64, 50_000
 
 #: What str.split() takes for space and the tokenizer doesn't.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -30,7 +32,7 @@ def byte_symbols() -> list[str]:
 
 
 class Memo(dict):
-    """Ids of words, found on first use; a piece of several words is looked up word by word and not kept."""
+    """Ids of words, found on first use; a piece of several words is looked up word by word and not kept, nor is a word of more than LONG signs."""
 
     def __init__(self, find, path):
         super().__init__()
@@ -39,6 +41,8 @@ class Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         words = self.find(piece)
         if words == [piece]:
+            if len(piece) > LONG:
+                return np.array(self.path(piece), "<u4").tobytes()
             ids = self[piece] = np.array(self.path(piece), "<u4").tobytes()
             return ids
         return b"".join(map(self.__getitem__, words))
@@ -98,6 +102,7 @@ class Automaton:
         self.bytes = byte_symbols()
         self.states = [("", (-1,))]
         self.number, self.last, self.rows = {self.states[0]: 0}, [-1], {}
+        self.compiled = 1 << 60
         of = {c: b for b, c in enumerate(self.bytes)}
         for text, i in self.vocab.items():
             if i not in dead:
@@ -147,15 +152,33 @@ class Automaton:
         self.rows[state * self.SYMBOLS + symbol] = to
         return to
 
-    def _run(self, symbols: list[int]) -> list[int]:
+    def _run(self, symbols: Iterable[int]) -> array:
         """The last token of each prefix."""
-        rows, last, state, out = self.rows, self.last, 0, []
+        rows, last, state, out = self.rows, self.last, 0, array("i")
         for c in symbols:
             to = rows.get(state * 512 + c)
-            state = self._compile(state, c) if to is None else to
+            if to is None:
+                if len(self.states) > self.compiled + STATES:
+                    state = self._forget(state)
+                    rows = self.rows
+                to = self._compile(state, c)
+            state = to
             out.append(last[state])
         return out
 
+    def _forget(self, state: int) -> int:
+        """Drop the states that texts have asked for, all but one; gives its new number."""
+        kept = self.states[state]
+        for s in self.states[self.compiled :]:
+            del self.number[s]
+        del self.states[self.compiled :], self.last[self.compiled :]
+        self.rows = {k: to for k, to in self.rows.items() if to < self.compiled and k // self.SYMBOLS < self.compiled}
+        if kept not in self.number:
+            self.number[kept] = len(self.states)
+            self.states.append(kept)
+            self.last.append(kept[1][0])
+        return self.number[kept]
+
     def start(self) -> None:
         """What a worker fills as it goes."""
         self.words = Memo(regex.compile(self.pattern).findall, self.path)
@@ -164,20 +187,15 @@ class Automaton:
         self.compiled = len(self.states)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def path(self, word: str) -> list[int]:
+    def path(self, word: str) -> array:
         """The tokens of one pre-split word."""
-        if len(self.states) > self.compiled + STATES:  # forget rows that texts have asked for
-            for state in self.states[self.compiled :]:
-                del self.number[state]
-            del self.states[self.compiled :], self.last[self.compiled :]
-            self.rows = {k: to for k, to in self.rows.items() if to < self.compiled and k // self.SYMBOLS < self.compiled}
-        symbols = list(word.encode("utf-8", "surrogatepass"))
-        symbols[-1] += 256
-        lasts, i, tokens = self._run(symbols), len(symbols), []
+        data = word.encode("utf-8", "surrogatepass")
+        lasts, i, tokens = self._run(chain(data[:-1], (data[-1] + 256,))), len(data), array("i")
         while i:
             tokens.append(lasts[i - 1])
             i -= self.size[tokens[-1]]
-        return tokens[::-1]
+        tokens.reverse()
+        return tokens
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text (little-endian, 32 bits)."""
