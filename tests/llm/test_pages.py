@@ -30,13 +30,33 @@ LAYOUTS = {
         f'<body><div class="post"><h1>Rivers</h1><div class="entry-content"><p>{TEXT}</p><blockquote><p>{MORE}</p></blockquote></div></div><div id="comments"><h3>2 comments</h3><div class="comment"><p>{MORE} I agree in full with this.</p></div></div></body>',
         f"Rivers\n{TEXT}\n{MORE}",
     ),
+    "a site's name in a header without classes": (f'<header><h1>Site</h1><nav><a href="/a">News</a> <a href="/b">Sport</a></nav></header><main><h1>Rivers</h1><p>{TEXT}</p><p>{MORE}</p></main>', f"Rivers\n{TEXT}\n{MORE}"),
+    "a header inside the article": (f"<body><header><h1>The Daily</h1><ul><li><a>Home</a><li><a>World</a></ul></header><article><header><h1>Rivers</h1></header><p>{TEXT}</p><p>{MORE}</p></article></body>", f"Rivers\n{TEXT}\n{MORE}"),
+    "a table that lays out": (f'<body><table><tr><td><a href="/a">A</a> <a href="/b">B</a></td><td><h1>Rivers</h1><p>{TEXT}</p><p>{MORE}</p></td></tr></table></body>', f"Rivers\n{TEXT}\n{MORE}"),
+    "a table that lays out, links on the right": (f'<body><table><tbody><tr><td><div><h2>Rivers</h2><p>{TEXT}</p><p>{MORE}</p></div></td><td><ul><li><a>One</a></li><li><a>Two</a></li></ul></td></tr></tbody></table><p>{MORE}</p></body>', f"Rivers\n{TEXT}\n{MORE}\n{MORE}"),
     "entities, breaks, blanks": (f"<article><p>One &amp; two&nbsp;three<br>four\n\t five &#233;</p><p>{TEXT}</p></article>", f"One & two three four five é\n{TEXT}"),
 }
 
 
 @pytest.fixture(scope="module")
 def model():
-    return html.train()
+    return html.fitted()
+
+
+@pytest.mark.parametrize("depth", [390, 398, 500, 50_000])
+@pytest.mark.parametrize("tag", ["div", "font", "section"])
+def test_depth_takes_nothing(model, depth, tag):
+    page = f"<article><h1>Rivers</h1><p>{TEXT}</p><p>{MORE}</p></article>"
+    for end in (f"</{tag}>" * depth, ""):
+        assert html.texts(model, [f"<body><nav><ul><li><a>Home</a></ul></nav>{f'<{tag} class=x>' * depth}{page}{end}"]) == [f"Rivers\n{TEXT}\n{MORE}"]
+
+
+def test_messages_from_element_to_element_are_the_same(model, monkeypatch):
+    sources = [LAYOUTS[k][0] for k in LAYOUTS]
+    flat = model.marginals([html.parse(s) for s in sources])
+    monkeypatch.setattr(html, "DEEP", 0)
+    for a, b in zip(flat, model.marginals([html.parse(s) for s in sources]), strict=True):
+        assert abs(a - b).max() < 1e-6
 
 
 @pytest.mark.parametrize("name", sorted(LAYOUTS))

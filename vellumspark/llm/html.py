@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ ENDS = {tag: [(ended, scope) for tags, ended, scope in IMPLIED_ENDS if tag in ta
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption figure caption table tbody ul ol dl".split()) | INLINE
 
 STATES = 3
-#: Messages go one depth after another; elements nested deeper than this belong to the one above.
-DEEP = 400
+#: Messages go one depth after another for pages nested up to this; in deeper ones from element to element.
+DEEP = 200
 
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)?(?:\s*(=)\s*)?""")
@@ -79,6 +80,18 @@ class Page:
         self.linked.append(0)
         return len(self.tags) - 1
 
+    def told(self) -> Page:
+        """The page without elements that hold no text, which no result depends on."""
+        below = self.chars[:]
+        for i in range(len(below) - 1, 0, -1):
+            below[self.parents[i]] += below[i]
+        keep = [i for i in range(len(below)) if below[i] or not i]
+        if len(keep) == len(below):
+            return self
+        new = dict(zip(keep, range(len(keep)), strict=True))
+        of = lambda x: [x[i] for i in keep]
+        return Page(of(self.tags), of(self.words), [new.get(p, -1) for p in of(self.parents)], of(self.labels), of(self.chars), of(self.linked), [[(new[at], s) for at, s in b if at in new] for b in self.blocks])
+
 
 class Reader:
     """Start and end tags of a source, each sign looked at a bounded number of times: what is known not to come is not sought again."""
@@ -219,13 +232,12 @@ def parse(source: str | None, labelled: bool = False) -> Page:
             continue
         parent = stack[-1][1]
         plain = tag in INLINE and not attrs
-        deep = len(stack) > DEEP  # elements nested deeper than any page's are read as part of the one that holds them
-        stack.append((tag, parent if plain or deep or state["silent"] else page.add(tag, attrs, parent)))
+        stack.append((tag, parent if plain or state["silent"] else page.add(tag, attrs, parent)))
         count[tag] += 1
         state["silent"] += tag in SILENT
         state["links"] += tag == "a"
     flush()
-    return page
+    return page.told()
 
 
 def raw_end(reader: Reader, tag: str, at: int) -> int:
@@ -252,6 +264,11 @@ def features(page: Page) -> list[list[str]]:
     return out
 
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - most).sum(axis=axis)) + most.squeeze(axis)
+
+
 class Forest:
     """Trees of several pages as arrays, with messages passed one depth at a time for all pages together."""
 
@@ -268,23 +285,65 @@ class Forest:
         for i, q in enumerate(parents):
             if q >= 0:
                 depth[i] = depth[q] + 1
+        ends = [*self.base[1:], base]
+        self.deep = [(a, b) for a, b in zip(self.base, ends, strict=True) if depth[a:b].max(initial=0) > DEEP]
+        for a, b in self.deep:
+            depth[a:b] = 0
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(1, depth.max(initial=0) + 2))
-        self.levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # without the roots
+        self.levels = []  # without the roots: elements, their parents, and where each parent's children begin; both in document order
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                own, first = np.unique(self.parents[order[a:b]], return_index=True)
+                self.levels.append((order[a:b], own, first))
 
     def run(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marginals (n, 3) and pair marginals (n, 3, 3) of (parent, child), from log potentials unary (n, 3) and pair (kinds, 3, 3)."""
         below, up = unary.copy(), np.zeros_like(unary)
-        for at in reversed(self.levels):
-            up[at] = np.logaddexp.reduce(pair[self.kind[at]] + below[at][:, None, :], axis=2)
-            np.add.at(below, self.parents[at], up[at])
+        for at, own, first in reversed(self.levels):
+            up[at] = _log_sum(pair[self.kind[at]] + below[at][:, None, :], 2)
+            below[own] += np.add.reduceat(up[at], first, axis=0)
         full, both = below.copy(), np.zeros((len(unary), STATES, STATES))
-        for at in self.levels:
+        for at, _, _ in self.levels:
             rest = full[self.parents[at]] - up[at]  # the parent's belief without this child
             joint = rest[:, :, None] + pair[self.kind[at]] + below[at][:, None, :]
-            full[at] = np.logaddexp.reduce(joint, axis=1)
-            both[at] = np.exp(joint - np.logaddexp.reduce(joint.reshape(len(at), STATES * STATES), axis=1)[:, None, None])
-        return np.exp(full - np.logaddexp.reduce(full, axis=1)[:, None]), both
+            full[at] = _log_sum(joint, 1)
+            both[at] = np.exp(joint - _log_sum(joint.reshape(len(at), STATES * STATES), 1)[:, None, None])
+        return np.exp(full - _log_sum(full, 1)[:, None]), both
+
+
+    def marginals(self, unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Each element's probability of state 1."""
+        out = self.run(unary, pair)[0][:, 1]
+        for a, b in self.deep:
+            out[a:b] = one_by_one((self.parents[a:b] - a).tolist(), self.kind[a:b].tolist(), unary[a:b], pair)
+        return out
+
+
+def one_by_one(parents: list[int], kind: list[int], unary: np.ndarray, pair: np.ndarray) -> list[float]:
+    """The same messages for one page of any depth: up from the last element to the first, since a parent precedes its children, and down again.
+
+    In probabilities, each message scaled to a sum of 1, so nothing runs out of range.
+    """
+    def scaled(x, y, z):
+        s = x + y + z
+        return x / s, y / s, z / s
+
+    own = [scaled(*u) for u in np.exp(np.clip(unary - unary.max(axis=1, keepdims=True), -300, 0)).tolist()]
+    table = np.exp(pair - pair.max(axis=(1, 2), keepdims=True)).tolist()
+    below, up = own[:], [(1.0, 1.0, 1.0)] * len(own)
+    for i in range(len(own) - 1, 0, -1):
+        (a, b, c), t, p = below[i], table[kind[i]], parents[i]
+        m = up[i] = scaled(*[r[0] * a + r[1] * b + r[2] * c for r in t])
+        x, y, z = below[p]
+        below[p] = scaled(x * m[0] + 1e-300, y * m[1] + 1e-300, z * m[2] + 1e-300)
+    full = below[:]
+    for i in range(1, len(own)):
+        t, m = table[kind[i]], up[i]
+        rest = [f / max(u, 1e-300) for f, u in zip(full[parents[i]], m, strict=True)]
+        x, y, z = below[i]
+        full[i] = scaled(*[b * (rest[0] * t[0][k] + rest[1] * t[1][k] + rest[2] * t[2][k]) + 1e-300 for k, b in enumerate((x, y, z))])
+    return [f[1] for f in full]
 
 
 @dataclass
@@ -302,7 +361,7 @@ class Model:
                 got = [w.get(f, none) for f in own]
                 unary[i, 1], unary[i, 2] = sum([g[0] for g in got]), sum([g[1] for g in got])
                 i += 1
-        m = forest.run(unary, self.pair)[0][:, 1]
+        m = forest.marginals(unary, self.pair)
         return [m[b : b + len(p.tags)] for b, p in zip(forest.base, pages, strict=True)]
 
 
@@ -312,6 +371,12 @@ def render(node) -> str:
     return f"<{tag}{mark}>{inner if isinstance(inner, str) else ''.join(map(render, inner))}</{tag}>"
 
 
+@cache
+def fitted() -> Model:
+    """The model of the labelled pages, fitted once in a process."""
+    return train()
+
+
 def train(labelled: list[str] | None = None, epochs: int = 80, rate: float = 0.6, decay: float = 1e-5) -> Model:
     """Potentials from labelled pages: HTML whose elements carry their state as data-k; those without it are unobserved."""
     pages = [parse(s, labelled=True) for s in (labelled or map(render, htmlpages.pages()))]
@@ -354,7 +419,7 @@ def extract(spark: SparkSession, pages: DataFrame, html_col: str = "html", out:
     """`pages` with the main text of each whole page. Null and empty pages give ''; rows are kept one for one, repeated ones
     too; a column that is already named `out` is replaced, all others are kept; empty tables stay empty. No shuffle."""
     prepare(spark)
-    model = spark.sparkContext.broadcast(train())
+    model = spark.sparkContext.broadcast(fitted())
     names = [c for c in pages.columns if c != out]
     pages = pages.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(html_col)

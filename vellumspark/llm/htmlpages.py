@@ -23,7 +23,7 @@ def _links(r, kind_word: str, n: int, tag: str = "ul"):
 #: Boilerplate containers: tag, class words, and what they hold.
 FRAMES = [
     ("nav", "", "links"), ("nav", "menu main-nav", "links"), ("div", "menu", "links"), ("div", "nav navigation navbar", "links"), ("div", "breadcrumb breadcrumbs", "links"),
-    ("header", "", "mixed"), ("header", "site-header page-header", "mixed"), ("div", "header masthead banner top-bar", "mixed"), ("div", "logo branding", "short"),
+    ("header", "", "mixed"), ("header", "site-header page-header", "mixed"), ("header", "", "site"), ("header", "", "site"), ("div", "", "site"), ("div", "header masthead banner top-bar", "mixed"), ("div", "logo branding", "short"),
     ("footer", "", "mixed"), ("footer", "site-footer", "mixed"), ("div", "footer copyright legal", "short"), ("div", "footer bottom", "mixed"),
     ("aside", "", "mixed"), ("aside", "sidebar", "links"), ("div", "sidebar side widget", "mixed"), ("section", "related related-posts more recommended", "links"), ("div", "related recommended popular trending", "links"),
     ("div", "ad", "short"), ("div", "ads advert advertisement", "short"), ("div", "sponsored promo promotion", "long"), ("section", "ad-slot ad-banner", "short"), ("ins", "adsbygoogle", "short"),
@@ -55,6 +55,9 @@ def _frame(r: random.Random, tag: str, words: str, holds: str):
         return (tag, word, 0, _text(r, r.randint(2, 12)))
     elif holds == "long":
         inner = [("p", "", 0, _text(r, r.randint(10, 60))) for _ in range(r.randint(1, 3))]
+    elif holds == "site":
+        name = (r.choice(["h1", "h1", "h2", "p", "div", "span"]), "", 0, r.choice([_text(r, r.randint(1, 4)), [("a", "", 0, _text(r, 2))]]))
+        inner = [name, ("nav", "", 0, [_links(r, "", r.randint(2, 6))]) if r.random() < 0.6 else _links(r, "", r.randint(2, 6))]
     elif holds == "form":
         inner = [("label", "", 0, _text(r, 2)), ("button", "", 0, _text(r, 1)), ("p", "", 0, _text(r, r.randint(1, 10)))][r.choice([0, 0, 1, 2]) :]
     elif holds == "comments":
@@ -110,6 +113,11 @@ def pages(n: int = 600, seed: int = 11) -> list[tuple]:
         mid = [main]
         for _ in range(r.choice([0, 0, 1, 2])):
             mid = [("div", r.choice(["", "wrapper", "container", "page", "row", "layout", "site"]), 2, [*mid, *([_frame(r, *r.choice(FRAMES))] if r.random() < 0.5 else [])])]
+        if k % 9 == 4:  # a table that only lays out
+            side = ("td", "", 0, [_links(r, "", r.randint(2, 6))] if r.random() < 0.4 else [("a", "", 0, _text(r, r.randint(1, 3))) for _ in range(r.randint(2, 6))])
+            cell = ("td", "", 2, mid) if r.random() < 0.5 else ("td", "", 1, main[3])
+            row = ("tr", "", 2, [side, cell] if r.random() < 0.7 else [cell, side])
+            mid = [("table", "", 2, [row] if r.random() < 0.5 else [("tbody", "", 2, [row])])]
         body = ("body", "", 2, [*before, *mid, *after])
         if k % 12 == 11:  # a bare page: running text and nothing else
             body = ("body", "", 1, r.choice([_text(r, 30), _main(r, "div", "")[3]]))
