@@ -47,10 +47,15 @@ def kinds(docs: DataFrame, id_col: str, text_col: str, trade_col: str | None = N
 
     Scores that are close to the best are decided by the more specific kind; below the least score it is "other".
     """
-    table = [x.split(" ", 3) for x in rules.KINDS.strip().split("\n")]
     f = F.coalesce(fold(text_col), F.lit(""))
     trade = F.col(trade_col) if trade_col else F.lit(None).cast("string")
-    points = lambda k: F.aggregate(F.array(*[F.least(F.regexp_count(F.col("f"), F.lit(p)), F.lit(int(most))) * int(w) for kind, w, most, p in table if kind == k]), F.lit(0), lambda a, x: a + x)
+
+    def points(k: str) -> Column:
+        """One pass tells whether any of a kind's words occurs; only then each of them is counted."""
+        own = [(p, most, w) for kind, w, most, p in rules.KINDS if kind == k]
+        total = F.aggregate(F.array(*[F.least(F.regexp_count(F.col("f"), F.lit(p)), F.lit(most)) * w for p, most, w in own]), F.lit(0), lambda a, x: a + x)
+        return F.when(F.col("f").rlike("|".join(f"(?:{p})" for p, _, _ in own)), total).otherwise(0)
+
     df = docs.select(F.col(id_col).alias("doc"), f.alias("f"), trade.alias("trade")).select("doc", "f", "trade", *[points(k).alias(k) for k in rules.KIND_ORDER])
 
     def minus(k: str, *losses: tuple[int, Column]) -> Column:
@@ -225,7 +230,7 @@ def references(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     token = r"[a-z0-9][a-z0-9\-/._]{3,34}"
     df = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), fold(text_col).alias("f"))
     found = []
-    for i, (what, stable, label) in enumerate(rules.REFERENCES):
+    for i, (label, what, stable) in enumerate(rules.REFERENCES):
         size = F.char_length(F.regexp_extract("s.raw", rf"^((?:{label})){token}$", 1))
         found.append((tagged(F.col("f"), rf"(?<![a-z0-9])(?:{label}){token}", what=what, stable=stable, rule=i), size))
     hit = df.select("doc", "text", F.explode(F.concat(*[x for x, _ in found])).alias("s"))

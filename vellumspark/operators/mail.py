@@ -11,7 +11,7 @@ from . import extract
 
 #: Words in a subject that speak for a document.
 SUBJECT = (
-    r"factura|recibo|poliza|contrato|garantia|notificacion|requerimiento|liquidacion|multa|sancion|renovacion|vencimiento|aviso\s+de\s+cargo|extracto|presupuesto|justificante|resolucion|citacion|"
+    r"factura|recibo|poliza|contrato|garantia|notificacion|requerimiento|liquidacion|multa|sancion|renovacion|vencimiento|aviso\s+de\s+cargo|tu\s+factura|extracto|presupuesto|justificante|resolucion|citacion|"
     r"invoice|receipt|policy|renewal|statement|your\s+order|confirmacion\s+de\s+(?:compra|pedido)|ticket"
 )
 #: Signs of advertising and their weights.
@@ -58,12 +58,13 @@ def classify(messages: DataFrame, id_col: str = "id") -> DataFrame:
     known, paper = F.coalesce(F.col("trade").isin(*OFFICES), F.lit(False)), F.col("_body") != "other"
     score = F.when(F.col("pdfs") > 0, 8).when(F.col("files") > 0, 4).otherwise(0) + F.when(F.col("subject"), 3).otherwise(0) + F.when(paper, F.least(F.col("_score"), F.lit(10))).otherwise(0) + F.when(known, 2).otherwise(0) - F.col("noise") * 2
     shop = F.coalesce(F.col("trade") == "shop", F.lit(False)) & ~F.col("subject")
-    kind = (
-        F.when((F.col("pdfs") > 0) & (F.col("noise") < 4), "doc")
-        .when(paper & (F.col("_score") >= 10) & (F.col("noise") < 3) & ~shop, "doc")
-        .when((F.col("noise") >= 3) & (F.col("pdfs") == 0), "noise")
-        .when(((F.col("files") > 0) | F.col("subject") | paper) & (score >= 3), "maybe")
-        .otherwise("noise")
-    )
+    # the first that holds decides
+    decisions = [
+        ("doc", (F.col("pdfs") > 0) & (F.col("noise") < 4)),
+        ("doc", paper & (F.col("_score") >= 10) & (F.col("noise") < 3) & ~shop),
+        ("noise", (F.col("noise") >= 3) & (F.col("pdfs") == 0)),
+        ("maybe", ((F.col("files") > 0) | F.col("subject") | paper) & (score >= 3)),
+    ]
+    kind = F.coalesce(*[F.when(holds, name) for name, holds in decisions], F.lit("noise"))
     own = F.coalesce("from_self", F.lit(False))
     return m.select("doc", F.when(own, "noise").otherwise(kind).alias("kind"), F.when(own, 0).otherwise(score).cast("long").alias("score"), F.when(own, 0).otherwise(F.col("files")).cast("long").alias("attachments"))
