@@ -33,18 +33,27 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
-def test_query_equals_sql(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
+def same(spark, duck, query, sql):
+    df = query(spark, SF)
     cols = sorted(df.columns)
     mine = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    rel = duck.sql(catalog.oracle_sql()[name])
+    rel = duck.sql(sql)
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     theirs = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
     assert mine == theirs
 
 
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    same(spark, duck, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(catalog.cases()))
+def test_rows_of_our_own(spark, duck, name):
+    same(spark, duck, *catalog.cases()[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SF).columns
