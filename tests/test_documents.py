@@ -60,3 +60,12 @@ def test_odd_rows(spark):
             made.collect()
     assert [r.doc for r in extract.amounts(extract.lines(odd, "id", "text")).collect()] == [None]
     assert {r.kind for r in extract.kinds(odd, "id", "text").collect()} == {"other"}
+
+
+def test_languages(spark):
+    from vellumspark.functions import formats, text
+
+    rows = [(1, "The end of the story is in the book"), (2, "el perro y el gato en la casa"), (3, "o gato e o rato na casa das meninas"), (4, "il gatto e il cane sono in casa"), (5, "els gats i els gossos amb el pa"), (6, "der Hund und die Katze"), (7, "漢字かな交じり文"), (8, "привет мир"), (9, "la la"), (10, None), (11, ""), (12, "xyzzy plugh foo"), (13, "le chat dans une maison est avec les chiens")]
+    got = {r.id: r for r in text.languages(spark.createDataFrame([(*r, "x", 1) for r in rows], "id long, text string, script string, w int").select("id", "text"), "id", "text", formats.script).collect()}
+    assert {i: r.code for i, r in got.items()} == {1: "en", 2: "es", 3: "pt", 4: "it", 5: "ca", 6: "de", 7: "ja", 8: "", 9: "", 10: "", 11: "", 12: "", 13: "fr"}
+    assert got[7].confidence == 0.9 and got[8].confidence == 0.0 and got[10].words == 0 and got[1].hits == 6 and got[1].confidence == 0.75

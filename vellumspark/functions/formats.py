@@ -117,10 +117,13 @@ SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p
 
 def script(c: Column | str) -> Column:
     """The writing system of most letters, '' without letters; Han among kana is Japanese."""
+    c = F.col(c) if isinstance(c, str) else c
     n = {k: F.regexp_count(c, F.lit(p)) for k, p in SCRIPTS.items()}
     n["ja"], n["cjk"] = F.when(n["ja"] > 0, n["ja"] + n["cjk"]).otherwise(0), F.when(n["ja"] > 0, 0).otherwise(n["cjk"])
     best = F.array_max(F.array(*[F.struct(v.alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(n.items())]))
-    return F.when(best["n"] == 0, "").otherwise(best["k"])
+    counted = F.when(best["n"] == 0, "").otherwise(best["k"])
+    # letters are counted only where a letter is not Latin
+    return F.when(c.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), counted).when(c.rlike(r"\p{IsLatin}"), "latin").when(c.isNotNull(), "")
 
 
 def decimal_mark(c: Column | str) -> Column:

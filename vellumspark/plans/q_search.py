@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumspark.functions import checks, money, text
+from vellumspark.functions import checks, formats, money, text
 from vellumspark.operators import relate, search
 from vellumspark.session import table
 
@@ -140,14 +140,18 @@ CASE WHEN length(x) <= 60 THEN x ELSE rtrim(regexp_replace(x[1:60], ' [^ ]*$', '
 
 
 def languages(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", text.language("text").alias("g"))
-    return d.select("doc_id", "lang", F.when(F.col("g.words") >= 3, F.when(F.col("g.hits") > 0, F.col("g.lang"))).alias("guess"), F.col("g.hits").cast("long").alias("hits"))
+    d = table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    got = text.languages(d, "doc_id", "text", formats.script)
+    return got.join(d.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", F.nullif("code", F.lit("")).alias("guess"), "hits", "confidence")
 
 
-_HITS = ", ".join(f"len(list_filter(tok, lambda x: list_contains([{', '.join(repr(w) for w in text.STOP_WORDS[k].split())}], x))) AS {k}" for k in sorted(text.STOP_WORDS))
+_VOTES = ", ".join(f"len(list_filter(tok, lambda x: list_contains([{', '.join(repr(w) for w in text.STOP_WORDS[k].split())}], x))) AS {k}" for k in text.STOP_WORDS)
+_FIRST = " ".join(f"WHEN {k} = hits THEN '{k}'" for k in text.STOP_WORDS)
 LANGUAGES = f"""
-WITH t AS (SELECT doc_id, lang, {TOK} AS tok FROM documents), h AS (SELECT doc_id, lang, len(tok) AS n, {_HITS} FROM t), b AS (SELECT *, greatest(de, en, es, fr) AS hits FROM h)
-SELECT doc_id, lang, CASE WHEN n >= 3 AND hits > 0 THEN CASE hits WHEN de THEN 'de' WHEN en THEN 'en' WHEN es THEN 'es' ELSE 'fr' END END AS guess, CAST(hits AS BIGINT) AS hits FROM b
+WITH t AS (SELECT doc_id, lang, regexp_extract_all(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '\\p{{L}}+') AS tok FROM documents),
+h AS (SELECT doc_id, lang, len(tok) AS n, {_VOTES} FROM t), b AS (SELECT *, greatest({', '.join(text.STOP_WORDS)}) AS hits, {' + '.join(text.STOP_WORDS)} AS every FROM h)
+SELECT doc_id, lang, CASE WHEN n >= 3 AND hits > 0 THEN CASE {_FIRST} END END AS guess, CAST(hits AS BIGINT) AS hits,
+  CASE WHEN n >= 3 AND hits > 0 THEN round(CAST(hits AS DOUBLE) / every * least(1.0, CAST(hits AS DOUBLE) / greatest(3.0, n * CAST(0.25 AS DOUBLE))), 2) ELSE 0.0 END AS confidence FROM b
 """
 
 
