@@ -38,7 +38,7 @@ def test_held_out_labels_and_misspellings(spark):
     wrong = [r.doc_id for r in held if (r.score >= 0.7) != truth[r.doc_id]]
     assert len(wrong) <= 0.02 * len(held)
     rng = random.Random(8)
-    base = " ".join(rng.choices(plain, k=30))
+    base = " ".join(rng.choices(plain, k=6))
     odd = spark.createDataFrame([(1, f"{base} grummbock {base}"), (2, f"{base} xsnorfles {base}"), (3, f"{base} Wexblatt! {base}"), (4, f"{base} {base}")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(odd, model).collect()}
     assert min(got[1], got[2], got[3]) > 0.7 > 0.3 > got[4]
@@ -56,8 +56,9 @@ def test_scores_equal_the_mean_of_vectors():
 
 
 def test_chi_square_of_a_known_table():
-    # 20 of 50 against 10 of 100: with Yates' correction 17.01
-    assert np.isclose(toxicity.telling(np.array([10]), np.array([20]), 100, 50), [17.015625]).all()
+    # 20 of 50 against 10 of 100, with Yates' correction
+    want = 150 * (abs(20 * 90 - 10 * 30) - 150 / 2) ** 2 / (30 * 120 * 50 * 100)
+    assert np.isclose(toxicity.telling(np.array([10, 0]), np.array([20, 0]), 100, 50), [want, 0]).all()
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
