@@ -6,6 +6,10 @@ window over what the rules found. Nothing leaves the JVM. A null text has no lin
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +18,72 @@ from vellumspark.functions import money, rules
 from vellumspark.functions.text import fold
 
 
+def needed(pattern: str) -> list[str] | None:
+    """Words of which one stands in whatever a pattern matches, the longest of each alternative; None where an alternative has no fixed word.
+
+    What is optional, a class, an escape or looks around is no fixed word; a group counts by its own alternatives where it must occur.
+    """
+    branches, depth, at, i = [], 0, 0, 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[":
+            i = pattern.index("]", i + 2)
+        elif pattern[i] in "()":
+            depth += 1 if pattern[i] == "(" else -1
+        elif pattern[i] == "|" and depth == 0:
+            branches.append(pattern[at:i])
+            at = i + 1
+        i += 1
+    out: list[str] = []
+    for b in [*branches, pattern[at:]]:
+        word, found, i = "", [], 0
+        while i < len(b):
+            start, inner = i, None
+            if b[i] == "\\":
+                i += 2
+            elif b[i] == "[":
+                i = b.index("]", i + 2) + 1
+            elif b[i] == "(":
+                deep, i = 1, i + 1
+                while deep:
+                    if b[i] == "\\":
+                        i += 1
+                    elif b[i] == "[":
+                        i = b.index("]", i + 2)
+                    else:
+                        deep += {"(": 1, ")": -1}.get(b[i], 0)
+                    i += 1
+                inner = b[start:i]
+            else:
+                i += 1
+            least = 0 if b[i:i + 1] in ("?", "*") or b[i:i + 2] == "{0" else 1
+            many = b[i:i + 1] in tuple("?*+{")
+            if many:
+                i = b.index("}", i) + 1 if b[i] == "{" else i + 1
+                i += b[i:i + 1] in ("?", "+")
+            if inner is None and len(b[start]) == 1 and re.fullmatch("[a-z0-9]", b[start]) and least:
+                word += b[start]
+                if not many:
+                    continue
+            found, word = [*found, [word]], ""
+            if inner is not None and least and inner.startswith("(?:") and (own := needed(inner[3:-1])):
+                found.append(own)
+        found = [ws for ws in [*found, [word]] if min(map(len, ws)) >= 2]
+        if not found:
+            return None
+        out += max(found, key=lambda ws: (min(map(len, ws)), -len(ws)))
+    return sorted(set(out))
+
+
+def holds(c: Column, pattern: str) -> Column:
+    """Whether a text has a word that a pattern needs, which is much cheaper to see than a match; true where it needs none."""
+    words = needed(pattern)
+    return reduce(or_, [c.contains(w) for w in words]) if words else c.isNotNull()
+
+
 def spots(c: Column, pattern: str) -> Column:
-    """array<struct<start,end,raw>> of a pattern's matches in a text, positions from 0."""
+    """array<struct<start,end,raw>> of a pattern's matches in a text, positions from 0; a text without the words that the pattern needs isn't searched."""
     found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.char_length(x))
 
@@ -23,7 +91,7 @@ def spots(c: Column, pattern: str) -> Column:
         start = size(F.slice(gaps, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
         return F.struct(start.alias("start"), (start + F.char_length(raw)).alias("end"), raw.alias("raw"))
 
-    return F.transform(found, at)
+    return F.when(holds(c, pattern), F.transform(found, at)).when(c.isNotNull(), F.array().cast("array<struct<start:int,end:int,raw:string>>"))
 
 
 def tagged(c: Column, pattern: str, **tags) -> Column:
@@ -51,10 +119,9 @@ def kinds(docs: DataFrame, id_col: str, text_col: str, trade_col: str | None = N
     trade = F.col(trade_col) if trade_col else F.lit(None).cast("string")
 
     def points(k: str) -> Column:
-        """One pass tells whether any of a kind's words occurs; only then each of them is counted."""
-        own = [(p, most, w) for kind, w, most, p in rules.KINDS if kind == k]
-        total = F.aggregate(F.array(*[F.least(F.regexp_count(F.col("f"), F.lit(p)), F.lit(most)) * w for p, most, w in own]), F.lit(0), lambda a, x: a + x)
-        return F.when(F.col("f").rlike("|".join(f"(?:{p})" for p, _, _ in own)), total).otherwise(0)
+        """Each pattern of a kind is counted only where a word that it needs occurs."""
+        own = [F.when(holds(F.col("f"), p), F.least(F.regexp_count(F.col("f"), F.lit(p)), F.lit(most)) * w).otherwise(0) for kind, w, most, p in rules.KINDS if kind == k]
+        return reduce(add, own)
 
     df = docs.select(F.col(id_col).alias("doc"), f.alias("f"), trade.alias("trade")).select("doc", "f", "trade", *[points(k).alias(k) for k in rules.KIND_ORDER])
 
@@ -77,17 +144,19 @@ def kinds(docs: DataFrame, id_col: str, text_col: str, trade_col: str | None = N
 
     df = df.select("doc", *[plus(k).alias(k) for k in rules.KIND_ORDER])
     every = F.array(*[F.struct(F.col(k).alias("score"), F.lit(i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(rules.KIND_ORDER)])
-    best = F.array_max(F.transform(every, lambda x: x["score"]))
-    close = F.filter(every, lambda x: (x["score"] >= best - rules.CLOSE) & (x["score"] >= rules.LEAST_SCORE))
+    # each choice is a column of its own, so that it is made once a text and not once for each kind it is compared with
+    df = df.select("doc", every.alias("every"), F.greatest(*rules.KIND_ORDER).alias("best"))
+    close = F.filter("every", lambda x: (x["score"] >= F.col("best") - rules.CLOSE) & (x["score"] >= rules.LEAST_SCORE))
     won = F.array_min(F.transform(close, lambda x: F.struct(x["rank"].alias("rank"), x["kind"].alias("kind"), x["score"].alias("score"))))
-    second = F.array_max(F.transform(F.filter(every, lambda x: x["kind"] != won["kind"]), lambda x: x["score"]))
-    ranked = F.transform(F.sort_array(every, asc=False), lambda x: x["score"])
-    other = best < rules.LEAST_SCORE
+    df = df.select("doc", "every", "best", won.alias("won"))
+    second = F.array_max(F.transform(F.filter("every", lambda x: x["kind"] != F.col("won.kind")), lambda x: x["score"]))
+    ranked = F.transform(F.sort_array("every", asc=False), lambda x: x["score"])
+    other = F.col("best") < rules.LEAST_SCORE
     return df.select(
         "doc",
-        F.when(other, "other").otherwise(won["kind"]).alias("kind"),
-        F.when(other, best).otherwise(won["score"]).cast("int").alias("score"),
-        F.when(other, best - F.get(ranked, F.lit(1))).otherwise(won["score"] - second).cast("int").alias("margin"),
+        F.when(other, "other").otherwise(F.col("won.kind")).alias("kind"),
+        F.when(other, F.col("best")).otherwise(F.col("won.score")).cast("int").alias("score"),
+        F.when(other, F.col("best") - F.get(ranked, F.lit(1))).otherwise(F.col("won.score") - second).cast("int").alias("margin"),
     )
 
 
@@ -98,7 +167,7 @@ DATE = rf"(?<![\w/.-])(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[/.-]\d{{1,2}}[/.-
 
 def date_of(raw: Column) -> Column:
     """The day that a notation means, day before month, years of two digits from 2000; null where there is no such day or it is not in 1990 to 2100."""
-    part = lambda p, g: F.try_to_number(F.nullif(F.regexp_extract(raw, p, g), F.lit("")), F.lit("9999")).cast("int")
+    part = lambda p, g: F.regexp_extract(raw, p, g).try_cast("int")
     iso, dmy, named, us = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$", r"^(\d{1,2})\D+(\d{4})$", r"^[a-z.]+\s+(\d{1,2})\D+(\d{4})$"
     months = F.create_map(*[F.lit(x) for kv in rules.MONTHS.items() for x in kv])
     month = F.element_at(months, F.regexp_extract(raw, f"({'|'.join(rules.MONTHS)})", 1))
@@ -111,7 +180,7 @@ def date_of(raw: Column) -> Column:
 
 def dates(ls: DataFrame) -> DataFrame:
     """(doc, n, start, end, raw, date) of `lines`: every date with its year."""
-    found = ls.select("doc", "n", F.explode(spots(F.col("f"), DATE)).alias("s"))
+    found = ls.where(F.col("f").rlike(r"\d{4}|\d[/.-]\d")).select("doc", "n", F.explode(spots(F.col("f"), DATE)).alias("s"))
     return found.select("doc", "n", "s.start", "s.end", "s.raw", date_of(F.col("s.raw")).alias("date")).where("date IS NOT NULL")
 
 
@@ -197,8 +266,13 @@ def currency(raw: Column) -> Column:
 
 def prices(ls: DataFrame) -> DataFrame:
     """(doc, n, start, amount, currency, raw): numbers with a currency marker, in reading order."""
-    m = ls.select("doc", "n", F.explode(spots(F.col("f"), MONEY)).alias("s")).where(F.col("s.raw").rlike(_CUR))
-    return m.select("doc", "n", "s.start", value_of(F.col("s.raw")).alias("amount"), currency(F.col("s.raw")).alias("currency"), "s.raw").where("amount < 1000000000")
+    return _prices(ls).drop("f")
+
+
+def _prices(ls: DataFrame) -> DataFrame:
+    """`prices` with their lines. Lines without a marker or a digit aren't searched."""
+    m = ls.where(F.col("f").rlike(_CUR) & F.col("f").rlike(r"\d")).select("doc", "n", "f", F.explode(spots(F.col("f"), MONEY)).alias("s")).where(F.col("s.raw").rlike(_CUR))
+    return m.select("doc", "n", "s.start", value_of(F.col("s.raw")).alias("amount"), currency(F.col("s.raw")).alias("currency"), "s.raw", "f").where("amount < 1000000000")
 
 
 def amounts(ls: DataFrame) -> DataFrame:
@@ -213,12 +287,14 @@ def amounts(ls: DataFrame) -> DataFrame:
     found = text.select("doc", "n", "f", "below", F.explode(F.concat(*[tagged(F.col("f"), p, priority=k) for k, p in rules.TOTALS])).alias("s")).withColumn("priority", F.col("s.priority"))
     rest = F.expr("substring(f, s.end + 1)")
     before = F.expr("substring(f, greatest(s.start - 29, 1), least(s.start, 30))")
-    same, alone = F.get(spots(rest, clean), F.lit(0)), F.get(spots(F.col("below"), clean), F.lit(0))
+    found = found.select("n", "doc", "below", "s", "priority", rest.alias("rest"), before.alias("before"))
+    found = found.withColumn("same", F.get(spots(F.col("rest"), clean), F.lit(0))).withColumn("alone", F.get(spots(F.col("below"), clean), F.lit(0)))
+    rest, before, same, alone = (F.col(c) for c in ("rest", "before", "same", "alone"))
     use = F.when(same.isNotNull() & (same["start"] <= 60) & F.substring(rest, 1, 40).rlike(r"\d"), same["raw"]).when((F.char_length(F.trim("below")) <= 24) & (alone["start"] <= 3), alone["raw"])
     weak = (F.col("priority") <= 5) & before.rlike(rules.NO_TOTAL_BEFORE)
     labelled = found.where(~weak & ~rest.rlike(rules.NO_TOTAL_AFTER)).select("doc", use.alias("raw"), "priority", "n", F.col("s.start").alias("start"), F.col("s.raw").alias("label")).where("raw IS NOT NULL")
     labelled = labelled.select("doc", value_of(F.col("raw")).alias("amount"), currency(F.col("raw")).alias("currency"), "priority", "label", (-F.col("n")).alias("up"), (-F.col("start")).alias("left"))
-    plain = prices(ls).join(ls.select("doc", "n", "f"), ["doc", "n"]).where(~F.expr("substring(f, 1, start)").rlike(rules.NO_TOTAL_BEFORE))
+    plain = _prices(ls).where(~F.expr("substring(f, 1, start)").rlike(rules.NO_TOTAL_BEFORE))
     plain = plain.select("doc", "amount", "currency", F.lit(0).alias("priority"), F.lit(None).cast("string").alias("label"), (-F.col("n")).alias("up"), (-F.col("start")).alias("left"))
     rank = F.struct("priority", F.when(F.col("priority") == 0, F.col("amount")).otherwise(F.lit(0).cast("decimal(18,4)")).alias("a"), "up", "left")
     best = labelled.union(plain).groupBy("doc").agg(F.max_by(F.struct("amount", "currency", "priority", "label"), rank).alias("b"))

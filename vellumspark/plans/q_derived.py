@@ -26,7 +26,8 @@ def _spanish(amount: Column) -> Column:
 
 def _papers(spark, sf):
     """One paper for each order: an invoice, an English invoice, a contract or an office's notice, by its key."""
-    o = table(spark, sf, "orders").withColumn("d", F.to_date("o_orderdate"))
+    # a small file is one task's, and a paper takes much longer to read than its row, so rows are dealt to all cores
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("d")).repartition(4 * spark.sparkContext.defaultParallelism)
     d, k, key, total = F.col("d"), F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string"), F.col("o_totalprice")
     due, n = F.date_add(d, 30), (F.col("o_orderkey") % 20 + 5).cast("string")
     named = lambda x, names, f: f(F.dayofmonth(x).cast("string"), _of(names, F.month(x)), F.year(x).cast("string"))
