@@ -123,11 +123,14 @@ UNION ALL SELECT doc, CASE k WHEN 2 THEN 'permanence_' || n || 'month' ELSE 'app
 
 
 def easter(spark, sf):
-    y = table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct()
-    return y.select(F.col("y").cast("long").alias("y"), calendar.easter(F.col("y")).alias("easter"))
+    """Easter of two centuries and of every other year in which orders came."""
+    came = table(spark, sf, "orders").select(F.year("o_orderdate").cast("long").alias("y")).where("y IS NOT NULL")
+    y = came.union(spark.range(1900, 2100)).distinct()
+    return y.select("y", calendar.easter(F.col("y").cast("int")).alias("easter"))
 
 
-EASTER = f"SELECT y, easter FROM ({_EASTER.format(a=1900, b=2100)}) WHERE y IN (SELECT year(o_orderdate) FROM orders)"
+EASTER = f"""SELECT y, easter FROM ({_EASTER.format(a=1900, b=2100)})
+UNION SELECT y, easter FROM ({_EASTER.format(a=1583, b=4100)}) WHERE y IN (SELECT year(o_orderdate) FROM orders)"""
 
 
 def order_days(spark, sf):
