@@ -194,14 +194,26 @@ CASE WHEN c_custkey % 2 = 0 THEN '+34600' || lpad(CAST(c_custkey AS VARCHAR), 6,
 
 
 def spoken(spark, sf):
-    """Days said from the shipping day on: in so many days or weeks."""
-    li, n = table(spark, sf, "lineitem"), F.col("l_linenumber") % 3
-    q = F.col("l_quantity").cast("int").cast("string")
-    said = F.when(n == 0, F.concat(F.lit("en "), q, F.lit(" días"))).when(n == 1, F.concat(F.lit("dentro de "), q, F.lit(" semanas"))).otherwise(F.concat(F.lit("in "), q, F.lit(" days")))
-    return li.select("l_orderkey", "l_linenumber", formats.spoken_date(said, F.to_date("l_shipdate")).alias("day"))
-
-
-SPOKEN = "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) * CASE l_linenumber % 3 WHEN 1 THEN 7 ELSE 1 END AS day FROM lineitem"
+    """Days said from the shipping day on, in sixteen ways: by date, in so many days, weeks or months, by day of the week or month, or not at all."""
+    day, line = F.to_date("l_shipdate"), F.col("l_orderkey") + F.col("l_linenumber")
+    q = F.col("l_quantity").cast("int")
+    text, due = q.cast("string"), F.date_add(day, q)
+    join = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    ways = [
+        F.date_format(due, "yyyy-MM-dd"), join("el ", F.date_format(due, "d/M/yyyy")), join("en ", text, " días"), join("dentro de ", text, " semanas"), join("in ", text, " days"), join("in ", text, " months"), F.lit("dentro de dos semanas"), F.lit("in one month"),
+        F.lit("pasado mañana"), F.lit("mañana por la mañana"), F.lit("hoy"), F.lit("el viernes"), F.lit("next thursday"), join("el día ", ((q - 1) % 28 + 1).cast("string")), F.lit("fin de mes"), F.when(q % 2 == 0, "por la mañana").otherwise("algún día"),
+    ]
+    said = F.lit(None).cast("string")
+    for i, way in enumerate(ways):
+        said = F.when(line % 16 == i, way).otherwise(said)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", formats.spoken_date(said, day).alias("day"))
+
+
+SPOKEN = """
+WITH l AS (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 16 AS way, CAST(l_shipdate AS DATE) AS d, CAST(l_quantity AS INT) AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(CASE way WHEN 0 THEN d + q WHEN 1 THEN d + q WHEN 2 THEN d + q WHEN 3 THEN d + 7 * q WHEN 4 THEN d + q WHEN 5 THEN d + to_months(q) WHEN 6 THEN d + 14 WHEN 7 THEN d + to_months(1)
+  WHEN 8 THEN d + 2 WHEN 9 THEN d + 1 WHEN 10 THEN d WHEN 11 THEN d + CAST(1 + (11 - isodow(d)) % 7 AS INT) WHEN 12 THEN d + CAST(1 + (10 - isodow(d)) % 7 AS INT)
+  WHEN 13 THEN date_trunc('month', d + to_months(CASE WHEN (q - 1) % 28 + 1 >= day(d) THEN 0 ELSE 1 END)) + to_days((q - 1) % 28) WHEN 14 THEN last_day(d) END AS DATE) AS day FROM l"""
 
 
 def quantities(spark, sf):
