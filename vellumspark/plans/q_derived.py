@@ -344,11 +344,15 @@ MARKDOWN = "SELECT c_custkey, c_name || chr(10) || chr(10) || 'quoted ' || c_mkt
 
 
 def front(spark, sf):
-    m = text.front_matter(F.concat(F.lit("---\ntitle: "), F.col("c_name"), F.lit("\nlang: "), F.lower("c_mktsegment"), F.lit("\n---\nbody")))
+    """Notes on customers: with a title and a language, with a title only, and with a block that stands too late or is none."""
+    n, title = F.col("c_custkey") % 4, F.concat(F.lit("---\ntitle: "), F.col("c_name"))
+    full = F.concat(title, F.lit("\nlang: "), F.lower("c_mktsegment"), F.lit("\n---\nbody"))
+    note = F.when(n == 0, full).when(n == 1, F.concat(title, F.lit("\n---"))).when(n == 2, F.concat(F.lit("no block "), F.col("c_name"))).otherwise(F.concat(F.lit("late\n"), full))
+    m = text.front_matter(note)
     return table(spark, sf, "customer").select("c_custkey", F.try_element_at(m, F.lit("title")).alias("title"), F.try_element_at(m, F.lit("lang")).alias("lang"))
 
 
-FRONT = "SELECT c_custkey, c_name AS title, lower(c_mktsegment) AS lang FROM customer"
+FRONT = "SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN c_name END AS title, CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) END AS lang FROM customer"
 
 
 def page_lists(spark, sf):
