@@ -260,14 +260,25 @@ def addresses_query(spark, sf):
     return addresses(spark, sf).where("c_custkey % 11 <> 8")
 
 
+_SMALL, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстуввхуз", "αβψδεφγηιξκλμνοπρρστθωωχυζ"
+
+
 def scripts(spark, sf):
     """The script of each document, German ones put into Cyrillic letters and Spanish ones into Greek."""
-    small = "abcdefghijklmnopqrstuvwxyz"
-    t = F.when(F.col("lang") == "de", F.translate(F.lower("text"), small, "абцдефгхийклмнопкрстуввхуз")).when(F.col("lang") == "es", F.translate(F.lower("text"), small, "αβψδεφγηιξκλμνοπρρστθωωχυζ")).otherwise(F.col("text"))
+    t = F.when(F.col("lang") == "de", F.translate(F.lower("text"), _SMALL, _CYRILLIC)).when(F.col("lang") == "es", F.translate(F.lower("text"), _SMALL, _GREEK)).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", formats.script(t).alias("script"))
 
 
-SCRIPTS = r"SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\p{L}') THEN '' WHEN lang = 'de' THEN 'cyrillic' WHEN lang = 'es' THEN 'greek' ELSE 'latin' END AS script FROM documents"
+_RE2 = {"latin": "Latin", "cyrillic": "Cyrillic", "greek": "Greek", "arabic": "Arabic", "hebrew": "Hebrew", "cjk": "Han", "kana": "Hiragana", "kata": "Katakana", "ko": "Hangul", "devanagari": "Devanagari", "thai": "Thai"}
+_SCRIPTS = list(formats.SCRIPTS)
+#: Letters counted by script, Han with kana where there is kana; of equal counts the first script; a null text has none.
+SCRIPTS = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN lang = 'de' THEN translate(lower(text), '{_SMALL}', '{_CYRILLIC}') WHEN lang = 'es' THEN translate(lower(text), '{_SMALL}', '{_GREEK}') ELSE text END AS t FROM documents),
+c AS (SELECT doc_id, t, {", ".join(rf"len(regexp_extract_all(t, '\p{{{v}}}')) AS {k}" for k, v in _RE2.items())} FROM d),
+n AS (SELECT * REPLACE (CASE WHEN kana + kata > 0 THEN 0 ELSE cjk END AS cjk), CASE WHEN kana + kata > 0 THEN kana + kata + cjk ELSE 0 END AS ja FROM c),
+m AS (SELECT *, greatest({", ".join(_SCRIPTS)}) AS most FROM n)
+SELECT doc_id, CASE WHEN t IS NULL THEN NULL WHEN regexp_matches(regexp_replace(t, '\p{{Latin}}', '', 'g'), '\p{{L}}') THEN CASE WHEN most = 0 THEN '' {" ".join(f"WHEN {k} = most THEN '{k}'" for k in _SCRIPTS)} END
+  WHEN latin > 0 THEN 'latin' ELSE '' END AS script FROM m"""
 
 
 def unwrapped(spark, sf):
