@@ -143,3 +143,15 @@ def test_batches_of_a_mailbox_with_gaps(spark, tmp_path):
     got = watching.drain(spark, watching.mailbox(spark, str(tmp_path / "t"), "event_id long", step=100), "gaps", "batch").collect()
     assert {(r.event_id, r.batch) for r in got} == {(5, 0), (7, 0), (300, 2), (301, 2)}
     assert jobs.place(spark, "x")
+
+
+def test_batches_taken_together_are_told_apart(spark, tmp_path):
+    spark.createDataFrame([(5, "a"), (7, "b"), (104, "a"), (105, "a"), (106, "c"), (300, "d"), (301, "c"), (999, "e")], "event_id long, item string").write.parquet(str(tmp_path / "t"))
+    whole = dict(path=str(tmp_path / "t"), schema="event_id long, item string, batch long", step=100, batch="batch")
+    got = watching.drain(spark, watching.mailbox(spark, at_once=4, **whole), "told", "n").collect()
+    assert {(r.event_id, r.batch) for r in got} == {(5, 0), (7, 0), (104, 0), (105, 1), (106, 1), (300, 2), (301, 2), (999, 9)}
+    assert {(r.event_id, r.n) for r in got} == {(5, 0), (7, 0), (104, 0), (105, 0), (106, 0), (300, 0), (301, 0), (999, 2)}
+    for n in (1, 4, 50):
+        with watching.stateful(spark):
+            items = watching.mailbox(spark, at_once=n, **whole).select(F.lit("f").alias("feed"), "item", "batch")
+            assert sorted(r.item for r in watching.drain(spark, watching.new_items(items), "told").collect()) == ["c", "d", "e"]

@@ -23,15 +23,16 @@ SELECT watched, event_id, before, after FROM e WHERE before <> after
 
 
 def _mail(spark, sf, **options):
-    return watching.mailbox(spark, f"{sf}/events.parquet", "event_id long, user_id long, event_type string", id="event_id", **options)
+    return watching.mailbox(spark, f"{sf}/events.parquet", "event_id long, user_id long, event_type string, batch long", id="event_id", batch="batch", at_once=AT_ONCE, **options)
 
 
-STEP = 2500
+#: Ids of a mailbox's batch, and batches that Spark takes together: each of its own costs seconds whatever it holds.
+STEP, AT_ONCE = 2500, 200
 
 
 def feed_items(spark, sf):
     """Users that a kind of event did not have in its first batch, read as a mailbox in batches of ids."""
-    e = _mail(spark, sf, step=STEP).select(F.col("event_type").alias("feed"), F.col("user_id").cast("string").alias("item"))
+    e = _mail(spark, sf, step=STEP).select(F.col("event_type").alias("feed"), F.col("user_id").cast("string").alias("item"), "batch")
     with watching.stateful(spark):
         return watching.drain(spark, watching.new_items(e), "feed")
 
@@ -45,7 +46,7 @@ SELECT feed, item FROM f WHERE b > (SELECT min(b) FROM e WHERE e.feed = f.feed)
 
 def mailbox_batches(spark, sf):
     """Every event once, with the batch that read it."""
-    return watching.drain(spark, _mail(spark, sf, step=STEP), "mail", "batch").select("event_id", "user_id", "batch")
+    return watching.drain(spark, _mail(spark, sf, step=STEP), "mail").select("event_id", "user_id", "batch")
 
 
 MAILBOX_BATCHES = f"SELECT event_id, user_id, (event_id - (SELECT min(event_id) FROM events)) // {STEP} AS batch FROM events"

@@ -63,15 +63,21 @@ class Feed(StatefulProcessor):
         self.seen = handle.getMapState("seen", "item string", "n long", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        baseline, out = not self.known.exists(), []
+        baseline, first, came = not self.known.exists(), None, {}
         if baseline:
             self.known.update((int(timerValues.getCurrentProcessingTimeInMs()),))
+        # state is asked for once an item, not once a row
         for part in rows:
-            for item in part["item"]:
-                if item and not self.seen.containsKey((item,)):
-                    self.seen.updateValue((item,), (1,))
-                    if not baseline:
-                        out.append((key[0], item))
+            least = part["batch"].min()
+            first = least if first is None else min(first, least)
+            for item, n in part[part["item"].fillna("") != ""].groupby("item")["batch"].min().items():
+                came[item] = min(n, came.get(item, n))
+        out = []
+        for item, n in came.items():
+            if not self.seen.containsKey((item,)):
+                self.seen.updateValue((item,), (1,))
+                if not baseline or n > first:
+                    out.append((key[0], item))
         yield pd.DataFrame(out, columns=["feed", "item"])
 
     def close(self) -> None:
@@ -102,8 +108,12 @@ def page_changes(seen: DataFrame, keep: str = "90 days") -> DataFrame:
 
 
 def new_items(items: DataFrame, keep: str = "400 days") -> DataFrame:
-    """(feed, item): items that a feed did not have before; its first batch is the baseline. items: a stream of (feed, item); null and empty items are none."""
-    return items.select("feed", "item").groupBy("feed").transformWithStateInPandas(Feed(_ms(keep)), "feed string, item string", "append", "processingTime")
+    """(feed, item): items that a feed did not have before; its first batch is the baseline. items: a stream of (feed, item); null and empty items are none.
+
+    A stream may have a column batch, the number of the source's batch, where Spark takes several of those at once.
+    """
+    batch = F.col("batch").cast("long") if "batch" in items.columns else F.lit(0).cast("long").alias("batch")
+    return items.select("feed", "item", batch).groupBy("feed").transformWithStateInPandas(Feed(_ms(keep)), "feed string, item string", "append", "processingTime")
 
 
 def _ms(days: str) -> int:
@@ -129,7 +139,9 @@ class _Range(InputPartition):
 
 
 class MailboxReader(DataSourceStreamReader):
-    """Rows of a table in the order of a whole-number id, `step` ids a batch, dealt into `tasks` ranges.
+    """Rows of a table in the order of a whole-number id, in batches of `step` ids, of which Spark takes `at_once` together, dealt into `tasks` ranges.
+
+    A column of the schema that the option `batch` names is no column of the table: it is filled with the number of the batch, from 0.
 
     The offset is the first id not yet read. Spark asks for it again only after a batch is filed, and says so by commit(), which moves the watermark, a
     small file; a new run goes on from there, and a batch that failed is read again with the offsets it had.
@@ -137,9 +149,10 @@ class MailboxReader(DataSourceStreamReader):
 
     def __init__(self, options: dict, names: list[str]):
         self.path, self.id, self.names, self.mark = options["path"], options.get("id", "event_id"), names, options.get("watermark")
-        self.step, self.tasks = int(options.get("step", 4000)), int(options.get("tasks", 4))
-        ends = pc.min_max(self._table().to_table(columns=[self.id]).column(0))
-        self.first, last = ends["min"].as_py() or 0, ends["max"].as_py()
+        self.step, self.tasks, self.at_once, self.batch = int(options.get("step", 4000)), int(options.get("tasks", 4)), int(options.get("at_once", 1)), options.get("batch")
+        # a batch of rows at a time, so the ids are never all held
+        ends = [e for b in self._table().to_batches(columns=[self.id]) if (e := pc.min_max(b.column(0)).as_py())["min"] is not None]
+        self.first, last = min((e["min"] for e in ends), default=0), max((e["max"] for e in ends), default=None)
         self.end = self.first if last is None else last + 1
         self.reached = self._watermark() or self.first
 
@@ -159,7 +172,7 @@ class MailboxReader(DataSourceStreamReader):
         return {"next": self.first}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        self.reached = min(self.end, self.reached + self.step)
+        self.reached = min(self.end, self.reached + self.step * self.at_once)
         return {"next": self.reached}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -169,7 +182,12 @@ class MailboxReader(DataSourceStreamReader):
         return [_Range(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if x < y]
 
     def read(self, partition: _Range) -> Iterator:
-        yield from self._table().to_batches(columns=self.names, filter=(ds.field(self.id) >= partition.first) & (ds.field(self.id) < partition.end))
+        names, within = [n for n in self.names if n != self.batch], (ds.field(self.id) >= partition.first) & (ds.field(self.id) < partition.end)
+        if len(names) == len(self.names):
+            yield from self._table().to_batches(columns=names, filter=within)
+            return
+        number = {self.batch: pc.divide(pc.subtract(ds.field(self.id).cast("int64"), self.first), self.step)}
+        yield from self._table().to_batches(columns={n: number.get(n, ds.field(n)) for n in self.names}, filter=within)
 
     def commit(self, end: dict) -> None:
         if self.mark:
