@@ -144,3 +144,18 @@ def name_similarity(names: DataFrame, key: str, name: str, least: float) -> Data
     a, b = (keyed.select(F.col("k").alias(x), F.col("ws").alias(f"w{x}"), "pair") for x in "ab")
     score = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     return a.join(b, "pair").where("a < b").select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least).distinct()
+
+
+def name_links(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
+    """(k, class, links): for each name the smallest key of those with the same words, and how many other names are similar to it.
+
+    Pairs are looked for between classes only, so copies cost a row each; a name without words is a class of its own and has no links.
+    """
+    ws = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")))
+    words = names.select(F.col(key).alias("k"), F.nullif(F.array_join(ws, " "), F.lit("")).alias("words"))
+    classes = words.where("words IS NOT NULL").groupBy("words").agg(F.min("k").alias("class"), F.count("*").alias("size"))
+    pairs = name_similarity(classes, "class", "words", least)
+    both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    near = both.join(classes.select(F.col("class").alias("other"), "size"), "other").groupBy("class").agg(F.sum("size").alias("near"))
+    known = classes.join(near, "class", "left").select("words", "class", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return words.join(known, "words", "left").select("k", F.coalesce("class", "k").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
