@@ -16,16 +16,16 @@ def around(spark: SparkSession, starts: DataFrame, links: DataFrame, hops: int)
     many rows of one key in the join's larger side, which adaptive execution splits.
     """
     base = place(spark, "around")
-    both = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = both.union(both.select("b", "a")).distinct()
-    both.write.parquet(f"{base}/links")
-    both = spark.read.schema(both.schema).parquet(f"{base}/links")
+    ways = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
+    ways.write.parquet(f"{base}/links")
+    ways = spark.read.schema(ways.schema).parquet(f"{base}/links")
     new = starts.select("start", F.col("start").alias("node")).where("start IS NOT NULL").distinct().withColumn("depth", F.lit(0))
     new.write.parquet(f"{base}/seen/hop=0")
     schema = new.schema
     for k in range(1, hops + 1):
         last, seen = (spark.read.schema(schema).parquet(*p) for p in ([f"{base}/seen/hop={k - 1}"], [f"{base}/seen/hop={i}" for i in range(k)]))
-        step = last.join(both, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
+        # links are read as they are, once each way; only what a frontier reaches is made distinct, not all links
+        step = last.join(ways, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).union(last.join(ways, F.col("node") == F.col("b")).select("start", F.col("a").alias("node"))).distinct()
         step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(k)).write.parquet(f"{base}/seen/hop={k}")
     return spark.read.schema(schema).parquet(*[f"{base}/seen/hop={i}" for i in range(hops + 1)])
 
