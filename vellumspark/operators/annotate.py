@@ -13,9 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.session import small_batches
+
 #: Names that may be broadcast, and words of a name; longer names are not looked for.
 SMALL, LONGEST = 100_000, 5
 WORD = r"[^\W_]+"
+#: Mentions that a task holds before it hands them on.
+HELD = 1000
 SPAN = "start int, stop int, name string"
 
 
@@ -42,6 +46,7 @@ def annotate(texts: DataFrame, key: str, text: str, names: DataFrame, name: str,
     Names of more than LONGEST words, without words, or null are not looked for; names with one key are one. Null and empty texts have no
     mentions; rows with one key are texts of their own. Words are runs of letters and digits, so a name is found whatever stands between its words.
     """
+    small_batches(texts.sparkSession)
     keys = names.select(name_key(F.col(name)).alias("name")).where("name <> ''").where(F.size(F.split("name", " ")) <= LONGEST).distinct()
     known = keys.limit(small + 1).collect()
     kind = texts.schema[key].dataType.simpleString()
@@ -70,6 +75,9 @@ def annotate(texts: DataFrame, key: str, text: str, names: DataFrame, name: str,
                 for k, s in zip(pdf[key], pdf[text], strict=True):
                     all_of = list(places(s or ""))
                     rows += [(k, *all_of[i][2:]) for i in choose([p[:2] for p in all_of])]
+                    if len(rows) >= HELD:
+                        yield pd.DataFrame(rows, columns=[key, "start", "stop", "name"])
+                        rows = []
                 yield pd.DataFrame(rows, columns=[key, "start", "stop", "name"])
 
         return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, {SPAN}")

@@ -7,8 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellumspark.session import small_batches
+
 from .editscript import CHANGES, changes
 
+#: Changes that a task holds before it hands them on.
+HELD = 1000
+
 
 def compare(before: DataFrame, after: DataFrame, key: str, text: str, words: bool = False) -> DataFrame:
     """(key, kind, before_at, before, after_at, after): what changed between two texts of a key: replace, delete or insert of whole lines or words.
@@ -17,6 +22,7 @@ def compare(before: DataFrame, after: DataFrame, key: str, text: str, words: boo
     text is null there, is compared with nothing. The script is the least one (editscript.changes). Each pair of texts is one row of a join and is aligned in an Arrow batch, so a group holds
     one pair whatever the tables' size.
     """
+    small_batches(before.sparkSession)
     kind = before.schema[key].dataType
     pairs = before.select(key, F.col(text).alias("_a")).join(after.select(key, F.col(text).alias("_b")), key, "full_outer")
 
@@ -25,13 +31,18 @@ def compare(before: DataFrame, after: DataFrame, key: str, text: str, words: boo
             return []
         return t.split() if words else [x for x in (" ".join(line.split()) for line in t.split("\n")) if x]
 
+    columns = [key, "kind", "before_at", "before", "after_at", "after"]
+
     def run(batches):
         for pdf in batches:
             out = []
             for k, a, b in zip(pdf[key], pdf["_a"], pdf["_b"], strict=True):
-                left, right = units(a), units(b)
-                out += [(k, *change) for change in changes(left, right)]
-            yield pd.DataFrame(out, columns=[key, "kind", "before_at", "before", "after_at", "after"])
+                out += [(k, *change) for change in changes(units(a), units(b))]
+                # a batch holds thousands of texts; what was found goes out before it amounts to much
+                if len(out) >= HELD:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
     return pairs.mapInPandas(run, f"`{key}` {kind.simpleString()}, {CHANGES}")
 

@@ -16,6 +16,11 @@ def build(app: str = "vellumspark", master: str | None = None, **conf: str) -> S
     return b.getOrCreate()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Python steps get so many rows at a time: a batch of whole texts must fit beside those of the executor's other tasks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
