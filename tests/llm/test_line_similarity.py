@@ -56,3 +56,25 @@ def test_no_link_is_lost_in_crowds(spark):
     rows += [(30_000 + i, f"{i} b{i}x c d{i}x e") for i in range(50)]
     got = {r.doc_id: r._n_removed for r in linedup.clean(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i in got if not got[i]] == [0, 10_000, 20_000, *range(30_000, 30_050)]
+
+
+def test_components_once(spark, monkeypatch):
+    """Stars are labelled within two links, so connected components are sought once; what only meets through other buckets is still one group."""
+    calls, components = [], linedup.components
+    monkeypatch.setattr(linedup, "components", lambda *a: calls.append(1) or components(*a))
+    words = [f"w{i}" for i in range(20)]
+    # each line has one more word changed than the one before: a chain whose ends share no run
+    rows = [(i, " ".join(f"x{j}" if j < i else w for j, w in enumerate(words))) for i in range(21)]
+    got = {r.doc_id: r._n_removed for r in linedup.clean(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in sorted(got) if not got[i]] == [0] and len(calls) == 1
+
+
+def test_only_near_lengths_meet(spark):
+    """In one bucket lines meet if their lengths are at most 1 : 1.25, on either side, and not within one label."""
+    lengths = [8, 10, 12, 15, 16, 20, 40, 50, 63]
+    named = spark.createDataFrame([(7, i, n, 0, i) for i, n in enumerate(lengths)] + [(7, 100, 50, 0, 7)], "key long, k1 long, n int, p long, label long")
+    sketches = spark.createDataFrame([(i, 0, 0, 0, 0) for i in [*range(len(lengths)), 100]], "k1 long, q0 long, q1 long, q2 long, q3 long")
+    got = {(r.a, r.b) for r in linedup._across(named, sketches).collect()}
+    rows = [*enumerate(lengths, 0), (100, 50)]
+    near = {(a, b) for a, m in rows for b, n in rows if a < b and (a, b) != (7, 100) and abs(m - n) <= int(max(m, n) * 0.2 + 1e-9)}
+    assert got == near

@@ -15,9 +15,10 @@ its members with a few of them; pairs are formed only between lines that are in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, read
@@ -57,9 +58,10 @@ def keys(h: Column, n: Column) -> Column:
 
     A run is x + 2 y + 4 z of its words' hashes, which lie so that no sum runs over; its highest bits grow with its short words.
     """
-    rest = n - 2
+    rest, zero = n - 2, F.lit(0).cast("long")
     two = F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(2), rest), lambda x, y: x + F.shiftleft(y, 1))
-    runs = F.sort_array(F.zip_with(two, F.slice(h, F.lit(3), rest), lambda x, z: x + F.shiftleft(z, 2)))
+    # of a type without nulls, which Spark sorts as plain longs
+    runs = F.sort_array(F.zip_with(two, F.slice(h, F.lit(3), rest), lambda x, z: F.coalesce(x + F.shiftleft(z, 2), zero)))
     again = lambda r: F.transform(r, lambda x, i: F.when((i > 0) & (F.get(r, i - 1) == x), F.xxhash64(x, i - F.array_position(r, x))).otherwise(x))
     kept = F.when(n > GRAMS + 2, F.slice(F.array_distinct(runs), 1, GRAMS)).otherwise(let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), r).otherwise(again(r))))
     return F.when(n < SHORT, F.array().cast("array<bigint>")).otherwise(kept)
@@ -95,22 +97,21 @@ FIRST_SIGN, SIGNS = 0x1000, 0xC000
 WIDE = 4
 
 
-def symbols(w: Column) -> Column:
-    """A text of one sign for each word, so that edit distance on it counts words."""
-    return F.decode(F.unhex(F.array_join(F.transform(w, lambda x: F.hex(F.pmod(F.xxhash64(x), F.lit(SIGNS)) + FIRST_SIGN)), "")), "UTF-16BE")
+def symbols(h: Column) -> Column:
+    """A text of one sign for each word, given by its hash, so that edit distance on it counts words."""
+    return F.decode(F.unhex(F.array_join(F.transform(h, lambda x: F.hex(F.pmod(x, F.lit(SIGNS)) + FIRST_SIGN)), "")), "UTF-16BE")
 
 
-def wide_parity(w: Column) -> Column:
-    """Parity sketches of the words, dealt by a hash to WIDE of them; an edit of one word changes two bits of all at most."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    return F.array(*[parity(F.filter(h, lambda x, k=k: F.shiftrightunsigned(x, 40).bitwiseAND(F.lit(WIDE - 1)) == k), 48) for k in range(WIDE)])
+def wide_parity(h: Column) -> list[Column]:
+    """Parity sketches of the words, given by their hashes and dealt to WIDE sketches by them; an edit of one word changes two bits of all at most."""
+    return [parity(F.filter(h, lambda x, k=k: F.shiftrightunsigned(x, 40).bitwiseAND(F.lit(WIDE - 1)) == k), 48) for k in range(WIDE)]
 
 
-def close(a: Column, na: Column, b: Column, nb: Column) -> Column:
+def close(a: list[Column], na: Column, b: list[Column], nb: Column) -> Column:
     """Whether lines of these wide parities may be similar; true for all that are."""
     bits = F.lit(0)
-    for k in range(WIDE):
-        bits = bits + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    for x, y in zip(a, b, strict=True):
+        bits = bits + F.bit_count(x.bitwiseXOR(y))
     return bits <= allowed(F.greatest(na, nb)) * 2
 
 
@@ -142,81 +143,88 @@ def removals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     lines = kept
 
     edges = scratch.keep(_one_word(found))
-    block = _buckets(scratch, found.select("k1", "n", "p", F.explode("keys").alias("key")))
+    block, parts = _buckets(scratch, found.select("k1", "n", "p", F.explode("keys").alias("key")))
     near = possible(F.col("x.p"), F.col("x.n"), F.col("y.p"), F.col("y.n"))
     held = scratch.keep(block.alias("x").join(block.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.k1") != F.col("y.k1")) & near, "left_semi"))
     nodes = scratch.keep(found.drop("n", "p", "keys", "short"))
-    scratch.drop(found)
-    live = scratch.keep(nodes.join(held.select("k1").distinct(), "k1", "left_semi").select("k1", "spot"))
-    full = scratch.keep(_texts(slim, live))
+    scratch.drop(found, *parts)
     # what most others resemble leads its buckets, so a large group has one leader in nearly all of them
-    own = held.groupBy("k1").agg(F.sort_array(F.collect_set("key")).alias("ks"), F.sum("lines").alias("pop"))
-    lead = _leaders(held.join(own.select("k1", "pop"), "k1"))
-    star = held.select("key", "k1", "n", "p").join(lead, "key").where("b <> k1").where(possible(F.col("p"), F.col("n"), F.col("pb"), F.col("nb")))
-    star = scratch.keep(star.select(F.least("b", "k1").alias("a"), F.greatest("b", "k1").alias("b")).distinct())
-    edges = scratch.keep(_confirmed(star, full).union(edges).distinct())
-    roots = components(spark, edges, scratch)
-    named = held.select("key", "k1", "n", "p").join(roots.select(F.col("node").alias("k1"), "root"), "k1", "left").select("key", "k1", "n", "p", F.coalesce("root", "k1").alias("label"))
-    named = scratch.keep(named)
-    mixed = scratch.keep(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("high"))
-    named = scratch.keep(named.join(mixed, "key").join(own.select("k1", "ks"), "k1").join(full, "k1"))
-    mine = named.where("label <> low").select("key", F.col("k1").alias("a"), "n", "p", F.col("q").alias("qa"), F.col("label").alias("la"), F.col("ks").alias("ka"), F.col("sym").alias("x"))
-    others = named.select("key", F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("q").alias("qb"), F.col("label").alias("lb"), F.col("ks").alias("kb"), F.col("sym").alias("y"))
-    apart = (F.col("la") != F.col("lb")) & possible(F.col("p"), F.col("n"), F.col("pb"), F.col("nb")) & close(F.col("qa"), F.col("n"), F.col("qb"), F.col("nb"))
-    # a pair that shares several keys is compared at the first of them
-    here = mine["key"] == F.array_min(F.array_intersect("ka", "kb"))
-    across = mine.join(others, (mine["key"] == others["key"]) & apart & here & similar(F.col("x"), F.col("y"))).select("a", "b")
-    more = scratch.keep(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = components(spark, edges.union(more), scratch)
-    scratch.drop(held, live, full, named)
+    own = scratch.keep(held.groupBy("k1").agg(F.sum("lines").alias("pop")))
+    full = scratch.keep(_texts(slim, nodes.join(own.select("k1"), "k1", "left_semi").select("k1", "spot")))
+    star = scratch.keep(_stars(held.join(own, "k1")))
+    linked = scratch.keep(_confirmed(star, full).union(edges).distinct())
+    pairs = scratch.keep(_across(held.join(_labels(linked), "k1", "left"), full.drop("sym")))
+    roots = components(spark, linked.union(_confirmed(pairs, full)), scratch)
+    scratch.drop(edges, held, own, full, star, linked, pairs)
 
     group = nodes.join(roots, nodes["k1"] == roots["node"], "left").where("times > 1 OR root IS NOT NULL").select("k1", "k2", "spot", F.coalesce("root", "k1").alias("root"))
-    group = scratch.keep(group)
-    stays = scratch.keep(group.groupBy("root").agg(F.min("spot").alias("stay")))
-    dirty = scratch.keep(group.join(stays, "root").select("k1", "k2", "stay"))
+    dirty = scratch.keep(group.select("k1", "k2", F.min("spot").over(Window.partitionBy("root")).alias("stay")))
     gone = lines.join(dirty, ["k1", "k2"]).where(~(F.col("id").eqNullSafe(F.col("stay.id")) & (F.col("dk") == F.col("stay.dk")) & (F.col("pos") == F.col("stay.pos"))))
     out = scratch.keep(gone.groupBy("id", "dk").agg(F.collect_set("pos").alias("removed")))
-    scratch.drop(kept, nodes, group, dirty)
+    scratch.drop(kept, nodes, dirty)
     return out
 
 
 def _one_word(found: DataFrame) -> DataFrame:
     """(a, b): lines of four to nine words that are one word apart, as stars: each to the least of those that are equal but for the word at a place, and the line without that word to the same."""
     e = found.select("k1", F.explode("short").alias("s")).select("k1", "s.r", "s.place")
-    low = e.groupBy("r", "place").agg(F.min("k1").alias("m"), F.count("*").alias("lines"))
-    replaced = e.where("place >= 0").join(low.where("lines > 1 AND place >= 0").select("r", "place", "m"), ["r", "place"]).where("k1 <> m")
-    whole = low.where("place < 0").select("r", F.col("m").alias("k1"))
-    inserted = low.where("place >= 0").select("r", "m").join(whole, "r").where("k1 <> m")
-    return replaced.select("m", "k1").union(inserted.select("m", "k1")).select(F.least("m", "k1").alias("a"), F.greatest("m", "k1").alias("b")).distinct()
-
-
-def _buckets(scratch: Scratch, block: DataFrame) -> DataFrame:
-    """(k1, n, p, key, lines) with every bucket of several lines, crowded ones split by the other crowded runs of their lines."""
-    counts = scratch.keep(block.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
-    # in this order of columns, under the same names, both sides of the later join are one shuffle
-    marked = scratch.keep(block.join(counts, "key").select("k1", "n", "p", "key", "lines"))
-    scratch.drop(counts)
+    whole = F.min(F.when(F.col("place") < 0, F.col("k1"))).over(Window.partitionBy("r"))
+    e = e.withColumn("m", F.min("k1").over(Window.partitionBy("r", "place"))).withColumn("whole", whole).where("place >= 0")
+    # the least of a place stands for it at the line that lacks the word
+    other = F.when(F.col("k1") == F.col("m"), F.col("whole")).otherwise(F.col("k1"))
+    return e.select("m", other.alias("k1")).where("k1 <> m").select(F.least("m", "k1").alias("a"), F.greatest("m", "k1").alias("b")).distinct()
+
+
+def _buckets(scratch: Scratch, block: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(k1, n, p, key, lines) with every bucket of several lines, crowded ones split by the other crowded runs of their lines; and the tables that it reads."""
+    marked = scratch.keep(block.withColumn("lines", F.count("*").over(Window.partitionBy("key"))).where("lines > 1").select("k1", "n", "p", "key", "lines"))
     many = marked.where(F.col("lines") > CROWD).groupBy("k1").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.sort_array(F.collect_set("key")).alias("ks"))  # GRAMS at most
     pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
-    return scratch.keep(marked.where(F.col("lines") <= CROWD).union(many.select("k1", "n", "p", F.explode(pairs).alias("key"), F.lit(CROWD).cast("long").alias("lines"))))
+    split = scratch.keep(many.select("k1", "n", "p", F.explode(pairs).alias("key"), F.lit(CROWD).cast("long").alias("lines")))
+    return marked.where(F.col("lines") <= CROWD).union(split), (marked, split)
 
 
-def _leaders(held: DataFrame) -> DataFrame:
-    """(key, b, nb, pb): the two members of a bucket with which all others are compared at first: the most popular one, and one drawn by a hash that is the same in every bucket."""
-    first = F.max(F.struct("pop", "k1", "n", "p")).alias("m")
-    drawn = F.min(F.struct(F.xxhash64("k1").alias("h"), "k1", "n", "p")).alias("d")
-    two = held.groupBy("key").agg(first, drawn)
+def _stars(held: DataFrame) -> DataFrame:
+    """(a, b): the members of each bucket with the two of them with which all others are compared at first: the most popular one, and one drawn by a hash that is the same in every bucket."""
+    bucket, drawn = Window.partitionBy("key"), F.xxhash64("k1")
+    first = F.max(F.struct("pop", "k1", "n", "p")).over(bucket)
+    second = F.min(F.struct(drawn.alias("h"), "k1", "n", "p")).over(bucket)
     of = lambda c: F.struct(F.col(f"{c}.k1").alias("b"), F.col(f"{c}.n").alias("nb"), F.col(f"{c}.p").alias("pb"))
-    return two.select("key", F.explode(F.array_distinct(F.array(of("m"), of("d")))).alias("x")).select("key", "x.*")
+    led = held.select("k1", "n", "p", first.alias("m"), second.alias("d")).select("k1", "n", "p", F.explode(F.array_distinct(F.array(of("m"), of("d")))).alias("x")).select("k1", "n", "p", "x.*")
+    near = possible(F.col("p"), F.col("n"), F.col("pb"), F.col("nb"))
+    return led.where("b <> k1").where(near).select(F.least("b", "k1").alias("a"), F.greatest("b", "k1").alias("b")).distinct()
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(k1, label) of linked lines: the least line within two links. Lines of one label are linked; a star has one label, if no other meets it."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    return both.join(low, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("k1"), F.least("a", "m").alias("label"))
+
+
+def _across(named: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): lines of one bucket and different labels whose sketches and lengths allow that they are similar. Only lines of one length level or two neighbouring ones meet."""
+    bucket = Window.partitionBy("key")
+    n = named.select("key", "k1", "n", "p", F.coalesce("label", "k1").alias("label"))
+    n = n.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("high").join(sketches, "k1")
+    # lengths of similar lines are at most 1 : 1.25
+    n = n.withColumn("level", F.floor(F.log("n") / math.log(1.26)).cast("int"))
+    wide = [f"q{k}" for k in range(WIDE)]
+    x = n.where("label <> low").select("key", "k1", "n", "p", "label", *wide, F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level")).alias("x")
+    y = n.select("key", "k1", "n", "p", "label", *wide, "level").alias("y")
+    side = lambda s: (F.col(f"{s}.p"), F.col(f"{s}.n"))
+    apart = (F.col("x.label") != F.col("y.label")) & possible(*side("x"), *side("y")) & close([F.col(f"x.{q}") for q in wide], F.col("x.n"), [F.col(f"y.{q}") for q in wide], F.col("y.n"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & apart)
+    return met.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
 
 
 def _texts(slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(k1, sym, q) of nodes, from their first occurrences: one join with the documents."""
+    """(k1, sym, q0, q1, ...) of nodes, from their first occurrences: one join with the documents."""
     wanted = nodes.select("k1", "spot.id", "spot.dk", "spot.pos").groupBy("id", "dk").agg(F.collect_list(F.struct("pos", "k1")).alias("at"))
     on = slim["id"].eqNullSafe(wanted["id"]) & (slim["dk"] == wanted["dk"])
     found = slim.join(wanted, on).select(F.split("text", "\n").alias("lines"), "at").select("lines", F.explode("at").alias("at"))
-    found = found.select("at.k1", words(F.get("lines", F.col("at.pos"))).alias("w")).dropDuplicates(["k1"])
-    return found.select("k1", symbols(F.col("w")).alias("sym"), wide_parity(F.col("w")).alias("q"))
+    found = found.select("at.k1", F.transform(words(F.get("lines", F.col("at.pos"))), lambda x: F.xxhash64(x)).alias("h"))
+    return found.select("k1", symbols(F.col("h")).alias("sym"), *[q.alias(f"q{k}") for k, q in enumerate(wide_parity(F.col("h")))]).dropDuplicates(["k1"])
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
