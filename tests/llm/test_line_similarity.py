@@ -58,15 +58,15 @@ def test_no_link_is_lost_in_crowds(spark):
     assert [i for i in got if not got[i]] == [0, 10_000, 20_000, *range(30_000, 30_050)]
 
 
-def test_components_once(spark, monkeypatch):
-    """Stars are labelled within two links, so connected components are sought once; what only meets through other buckets is still one group."""
+def test_second_search_takes_roots_only(spark, monkeypatch):
+    """Connected components are sought anew only between groups that meet, not over all links; a chain is one group."""
     calls, components = [], linedup.components
-    monkeypatch.setattr(linedup, "components", lambda *a: calls.append(1) or components(*a))
+    monkeypatch.setattr(linedup, "components", lambda spark, edges, scratch: calls.append(edges.where("a <> b").count()) or components(spark, edges, scratch))
     words = [f"w{i}" for i in range(20)]
     # each line has one more word changed than the one before: a chain whose ends share no run
     rows = [(i, " ".join(f"x{j}" if j < i else w for j, w in enumerate(words))) for i in range(21)]
     got = {r.doc_id: r._n_removed for r in linedup.clean(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [i for i in sorted(got) if not got[i]] == [0] and len(calls) == 1
+    assert [i for i in sorted(got) if not got[i]] == [0] and len(calls) == 2 and calls[1] < calls[0]
 
 
 def test_only_near_lengths_meet(spark):

@@ -153,8 +153,14 @@ def removals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     full = scratch.keep(_texts(slim, nodes.join(own.select("k1"), "k1", "left_semi").select("k1", "spot")))
     star = scratch.keep(_stars(held.join(own, "k1")))
     linked = scratch.keep(_confirmed(star, full).union(edges).distinct())
-    pairs = scratch.keep(_across(held.join(_labels(linked), "k1", "left"), full.drop("sym")))
-    roots = components(spark, linked.union(_confirmed(pairs, full)), scratch)
+    groups = components(spark, linked, scratch)
+    pairs = scratch.keep(_across(held.join(groups.select(F.col("node").alias("k1"), F.col("root").alias("label")), "k1", "left"), full.drop("sym")))
+    # only groups that meet are put together, by their roots
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    met = _confirmed(pairs, full).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tops = components(spark, met, scratch)
+    under = groups.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = under.union(tops.join(groups.select("node"), "node", "left_anti").select("node", "root"))
     scratch.drop(edges, held, own, full, star, linked, pairs)
 
     group = nodes.join(roots, nodes["k1"] == roots["node"], "left").where("times > 1 OR root IS NOT NULL").select("k1", "k2", "spot", F.coalesce("root", "k1").alias("root"))
@@ -195,13 +201,6 @@ def _stars(held: DataFrame) -> DataFrame:
     return led.where("b <> k1").where(near).select(F.least("b", "k1").alias("a"), F.greatest("b", "k1").alias("b")).distinct()
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """(k1, label) of linked lines: the least line within two links. Lines of one label are linked; a star has one label, if no other meets it."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
-    return both.join(low, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("k1"), F.least("a", "m").alias("label"))
-
-
 def _across(named: DataFrame, sketches: DataFrame) -> DataFrame:
     """(a, b): lines of one bucket and different labels whose sketches and lengths allow that they are similar. Only lines of one length level or two neighbouring ones meet."""
     bucket = Window.partitionBy("key")
