@@ -78,3 +78,33 @@ def test_only_near_lengths_meet(spark):
     rows = [*enumerate(lengths, 0), (100, 50)]
     near = {(a, b) for a, m in rows for b, n in rows if a < b and (a, b) != (7, 100) and abs(m - n) <= int(max(m, n) * 0.2 + 1e-9)}
     assert got == near
+
+
+def test_a_near_copy_is_found_beside_a_shared_passage(spark):
+    """A passage in lines that are unlike otherwise: they stay, and a near copy among them goes."""
+    rng = random.Random(3)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklm", k=7)) for _ in range(n)]
+    passage, own = fresh(40), [fresh(20) for _ in range(300)]
+    rows = [(i, " ".join(w + passage)) for i, w in enumerate(own)] + [(900, " ".join(["zz"] + own[7][1:] + passage))]
+    assert [r.id for r in linedup.removals(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [900]
+
+
+def test_only_links_leave_a_bucket(spark):
+    """Lines whose sketches allow that they are similar come out only if their texts are."""
+    named = spark.createDataFrame([(7, i, 10, 0, i) for i in range(4)], "key long, k1 long, n int, p long, label long")
+    texts = ["abcdefghij", "abcdefghxy", "abcdefgwxy", "abcdevwxyz"]
+    sketches = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)], "k1 long, sym string, q0 long, t0 long")
+    assert {(r.a, r.b) for r in linedup._across(named, sketches).collect()} == {(0, 1), (1, 2)}
+
+
+def test_merged_buckets_keep_lines_together(spark):
+    """Buckets of nearly the same lines become one, and lines that had a bucket in common have one still."""
+    rng = random.Random(4)
+    members = {key: rng.sample(range(60), 55) for key in range(40)} | {100: [0, 1, 200], 101: [200, 201, 202]}
+    split = spark.createDataFrame([(k1, 30, 0, key) for key, m in members.items() for k1 in m], "k1 long, n int, p long, key long")
+    got = linedup._merged(linedup.Scratch(spark), split).collect()
+    met = lambda buckets: {(a, b) for m in buckets for a in m for b in m if a < b}
+    after = {}
+    for r in got:
+        after.setdefault(r.key, set()).add(r.k1)
+    assert met(members.values()) <= met(after.values()) and len(got) < sum(map(len, members.values())) / 4

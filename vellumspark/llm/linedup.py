@@ -30,6 +30,8 @@ SHORT, DELETED = 8, 9
 #: Lines of a bucket that are compared as they are. A larger bucket is split by pairs of runs: similar lines of up to GRAMS + 2 words share two
 #: runs at least, so one of them is no crowded bucket or the lines meet in that of the pair.
 CROWD = 128
+#: Lines of a bucket that one task compares with all others of it.
+PART = 256
 SIMILARITY = 0.8
 
 
@@ -93,8 +95,8 @@ def possible(pa: Column, na: Column, pb: Column, nb: Column) -> Column:
 
 #: Signs of the basic plane that stand for words: 49,152 from U+1000, below the surrogates.
 FIRST_SIGN, SIGNS = 0x1000, 0xC000
-#: Parts of the wide parity sketch, which long lines need: the words' signs modulo WIDE fall on bits of their own.
-WIDE = 4
+#: Parts of the wide parity sketches, which long lines need: words modulo WIDE and runs of two words modulo WIDE_TWO fall on bits of their own.
+WIDE, WIDE_TWO = 4, 8
 
 
 def symbols(h: Column) -> Column:
@@ -102,17 +104,28 @@ def symbols(h: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(h, lambda x: F.hex(F.pmod(x, F.lit(SIGNS)) + FIRST_SIGN)), "")), "UTF-16BE")
 
 
-def wide_parity(h: Column) -> list[Column]:
-    """Parity sketches of the words, given by their hashes and dealt to WIDE sketches by them; an edit of one word changes two bits of all at most."""
-    return [parity(F.filter(h, lambda x, k=k: F.shiftrightunsigned(x, 40).bitwiseAND(F.lit(WIDE - 1)) == k), 48) for k in range(WIDE)]
+def twos(h: Column) -> Column:
+    """A hash of each run of two words, given by their hashes."""
+    rest = F.size(h) - 1
+    return F.when(rest > 0, F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(2), rest), lambda x, y: x.bitwiseXOR(F.shiftleft(y, 1)))).otherwise(F.slice(h, 1, 0))
 
 
-def close(a: list[Column], na: Column, b: list[Column], nb: Column) -> Column:
-    """Whether lines of these wide parities may be similar; true for all that are."""
-    bits = F.lit(0)
-    for x, y in zip(a, b, strict=True):
-        bits = bits + F.bit_count(x.bitwiseXOR(y))
-    return bits <= allowed(F.greatest(na, nb)) * 2
+def wide_parity(h: Column, parts: int) -> list[Column]:
+    """Parity sketches of words or runs, given by their hashes and dealt to so many sketches by them."""
+    return [parity(F.filter(h, lambda x, k=k: F.shiftrightunsigned(x, 40).bitwiseAND(F.lit(parts - 1)) == k), 48) for k in range(parts)]
+
+
+def close(x: str, y: str, columns: list[str]) -> Column:
+    """Whether the lines x and y of these wide parities, of words (q0, ...) and of runs (t0, ...), may be similar; true for all that are.
+
+    An edit of one word changes two bits of all its words' at most, and four of its runs'. Words come again in a line and cancel out, which
+    runs hardly do, and lines with the same words in another order have other runs; words tell more where a long passage is shared.
+    """
+    most, out = allowed(F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))), F.lit(True)
+    for kind, turned in (("q", 2), ("t", 4)):
+        bits = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns if c.startswith(kind)]
+        out = out & (sum(bits, F.lit(0)) <= most * turned)
+    return out
 
 
 def similar(x: Column, y: Column) -> Column:
@@ -154,10 +167,10 @@ def removals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     star = scratch.keep(_stars(held.join(own, "k1")))
     linked = scratch.keep(_confirmed(star, full).union(edges).distinct())
     groups = components(spark, linked, scratch)
-    pairs = scratch.keep(_across(held.join(groups.select(F.col("node").alias("k1"), F.col("root").alias("label")), "k1", "left"), full.drop("sym")))
+    pairs = scratch.keep(_across(held.join(groups.select(F.col("node").alias("k1"), F.col("root").alias("label")), "k1", "left"), full, scratch))
     # only groups that meet are put together, by their roots
     of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    met = _confirmed(pairs, full).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     tops = components(spark, met, scratch)
     under = groups.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     roots = under.union(tops.join(groups.select("node"), "node", "left_anti").select("node", "root"))
@@ -186,10 +199,25 @@ def _buckets(scratch: Scratch, block: DataFrame) -> tuple[DataFrame, tuple[DataF
     marked = scratch.keep(block.withColumn("lines", F.count("*").over(Window.partitionBy("key"))).where("lines > 1").select("k1", "n", "p", "key", "lines"))
     many = marked.where(F.col("lines") > CROWD).groupBy("k1").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.sort_array(F.collect_set("key")).alias("ks"))  # GRAMS at most
     pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
-    split = scratch.keep(many.select("k1", "n", "p", F.explode(pairs).alias("key"), F.lit(CROWD).cast("long").alias("lines")))
+    split = scratch.keep(_merged(scratch, many.select("k1", "n", "p", F.explode(pairs).alias("key"))))
     return marked.where(F.col("lines") <= CROWD).union(split), (marked, split)
 
 
+def _merged(scratch: Scratch, split: DataFrame) -> DataFrame:
+    """(k1, n, p, key, lines): buckets of several lines, those of which most lines have one larger bucket as their largest put into that with all their lines.
+
+    A passage that many lines share, or a group of near copies, gives a bucket for each pair of its runs, with nearly the same lines: as one bucket
+    its pairs meet once. All lines that had a bucket in common have one still.
+    """
+    b = scratch.keep(split.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").withColumn("top", F.max(F.struct("size", "key")).over(Window.partitionBy("k1"))["key"]))
+    votes = b.groupBy("key", "top").agg(F.count("*").alias("votes"), F.first("size").alias("size")).groupBy("key").agg(F.max(F.struct("votes", "top")).alias("v"), F.first("size").alias("size"))
+    into = scratch.keep(votes.where(F.col("v.votes") * 3 >= F.col("size") * 2).select("key", F.col("v.top").alias("top")))
+    # only into buckets that stay themselves
+    into = into.where("key <> top").join(into.where("key = top").select("top"), "top", "left_semi").withColumnRenamed("top", "target")
+    m = b.join(into, "key", "left").groupBy("k1", F.coalesce("target", "key").alias("key")).agg(F.first("n").alias("n"), F.first("p").alias("p"), (F.count("*") * CROWD).alias("lines"))
+    return m.select("k1", "n", "p", "key", "lines")
+
+
 def _stars(held: DataFrame) -> DataFrame:
     """(a, b): the members of each bucket with the two of them with which all others are compared at first: the most popular one, and one drawn by a hash that is the same in every bucket."""
     bucket, drawn = Window.partitionBy("key"), F.xxhash64("k1")
@@ -201,29 +229,46 @@ def _stars(held: DataFrame) -> DataFrame:
     return led.where("b <> k1").where(near).select(F.least("b", "k1").alias("a"), F.greatest("b", "k1").alias("b")).distinct()
 
 
-def _across(named: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): lines of one bucket and different labels whose sketches and lengths allow that they are similar. Only lines of one length level or two neighbouring ones meet."""
+def _across(named: DataFrame, sketches: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b): lines of one bucket and different labels whose sketches and lengths allow that they are similar, or, where `sketches` has their texts (sym), that are similar. Only lines of one length level or two neighbouring ones meet.
+
+    Lines that share a passage but nothing else are many pairs and hardly any link. So first those go that no other line of the bucket may be
+    similar to, and then texts are compared where lines meet; a bucket is dealt to a task for each PART of its lines. No pair is kept but a link.
+    """
+    keep = scratch.keep if scratch else lambda d: d
     bucket = Window.partitionBy("key")
     n = named.select("key", "k1", "n", "p", F.coalesce("label", "k1").alias("label"))
-    n = n.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("high").join(sketches, "k1")
+    n = n.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).where("low < high").drop("high").join(sketches.drop("sym"), "k1")
     # lengths of similar lines are at most 1 : 1.25
-    n = n.withColumn("level", F.floor(F.log("n") / math.log(1.26)).cast("int"))
-    wide = [f"q{k}" for k in range(WIDE)]
-    x = n.where("label <> low").select("key", "k1", "n", "p", "label", *wide, F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level")).alias("x")
-    y = n.select("key", "k1", "n", "p", "label", *wide, "level").alias("y")
+    n = keep(n.withColumn("level", F.floor(F.log("n") / math.log(1.26)).cast("int")))
+    levels = F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1))
+    wide = [c for c in sketches.columns if c not in ("k1", "sym")]
     side = lambda s: (F.col(f"{s}.p"), F.col(f"{s}.n"))
-    apart = (F.col("x.label") != F.col("y.label")) & possible(*side("x"), *side("y")) & close([F.col(f"x.{q}") for q in wide], F.col("x.n"), [F.col(f"y.{q}") for q in wide], F.col("y.n"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & apart)
+    apart = (F.col("x.label") != F.col("y.label")) & possible(*side("x"), *side("y")) & close("x", "y", wide)
+    x, y = n.select("key", "n", "p", "label", *wide, levels.alias("level")).alias("x"), n.alias("y")
+    may = keep(y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & apart, "left_semi"))
+    if "sym" in sketches.columns:
+        may = may.join(sketches.select("k1", "sym"), "k1")
+        apart = apart & similar(F.col("x.sym"), F.col("y.sym"))
+    may = keep(may.withColumn("parts", F.ceil(F.count("*").over(bucket) / PART).cast("int")))
+    x = may.where("label <> low").withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")).select("*", levels.alias("at"))
+    y = may.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # few bytes and much work, so not as few tasks as the bytes would have
+    tasks = int(may.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = x.repartition(tasks, "key", "at", "part").alias("x"), y.repartition(tasks, "key", "level", "part").alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.level")) & (F.col("x.part") == F.col("y.part")) & apart)
     return met.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
 
 
 def _texts(slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(k1, sym, q0, q1, ...) of nodes, from their first occurrences: one join with the documents."""
+    """(k1, sym, q0, ..., t0, ...) of nodes, from their first occurrences: one join with the documents."""
     wanted = nodes.select("k1", "spot.id", "spot.dk", "spot.pos").groupBy("id", "dk").agg(F.collect_list(F.struct("pos", "k1")).alias("at"))
     on = slim["id"].eqNullSafe(wanted["id"]) & (slim["dk"] == wanted["dk"])
     found = slim.join(wanted, on).select(F.split("text", "\n").alias("lines"), "at").select("lines", F.explode("at").alias("at"))
     found = found.select("at.k1", F.transform(words(F.get("lines", F.col("at.pos"))), lambda x: F.xxhash64(x)).alias("h"))
-    return found.select("k1", symbols(F.col("h")).alias("sym"), *[q.alias(f"q{k}") for k, q in enumerate(wide_parity(F.col("h")))]).dropDuplicates(["k1"])
+    found = found.select("k1", "h", twos(F.col("h")).alias("two"))
+    wide = [q.alias(f"{c}{k}") for c, of, parts in (("q", "h", WIDE), ("t", "two", WIDE_TWO)) for k, q in enumerate(wide_parity(F.col(of), parts))]
+    return found.select("k1", symbols(F.col("h")).alias("sym"), *wide).dropDuplicates(["k1"])
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
