@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from vellumspark.llm import linedup
 
 
@@ -108,3 +110,15 @@ def test_merged_buckets_keep_lines_together(spark):
     for r in got:
         after.setdefault(r.key, set()).add(r.k1)
     assert met(members.values()) <= met(after.values()) and len(got) < sum(map(len, members.values())) / 4
+
+
+def test_sketches_tell_lines_apart(spark):
+    """Two lines of 60 other words are told apart by their sketches alone; one more word at the beginning is one edit, wherever the others lie."""
+    rows = [(k, [f"{x}{i}" for i in range(60)]) for k, x in enumerate("ab")] + [(2, ["zz", *(f"a{i}" for i in range(60))])]
+    w = spark.createDataFrame(rows, "k int, w array<string>").select("k", F.size("w").alias("n"), linedup.hashes(F.col("w")).alias("h"))
+    q = w.select("k", "n", *[p.alias(f"q{i}") for i, p in enumerate(linedup.wide_parity(F.col("h"), linedup.WIDE))])
+    x, y = q.alias("x"), q.alias("y")
+    met = x.join(y, (F.col("x.k") < F.col("y.k")) & linedup.close("x", "y", [f"q{i}" for i in range(linedup.WIDE)]))
+    assert [(a, b) for a, b in met.select("x.k", "y.k").collect()] == [(0, 2)]
+    turned = sum((F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(linedup.WIDE)), F.lit(0))
+    assert x.join(y, (F.col("x.k") == 0) & (F.col("y.k") == 2)).select(turned).first()[0] == 1

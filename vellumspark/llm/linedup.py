@@ -95,8 +95,8 @@ def possible(pa: Column, na: Column, pb: Column, nb: Column) -> Column:
 
 #: Signs of the basic plane that stand for words: 49,152 from U+1000, below the surrogates.
 FIRST_SIGN, SIGNS = 0x1000, 0xC000
-#: Parts of the wide parity sketches, which long lines need: words modulo WIDE and runs of two words modulo WIDE_TWO fall on bits of their own.
-WIDE, WIDE_TWO = 4, 8
+#: Parts of the wide parity sketch, which long lines need: words modulo WIDE fall on bits of their own.
+WIDE = 4
 
 
 def symbols(h: Column) -> Column:
@@ -104,28 +104,20 @@ def symbols(h: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(h, lambda x: F.hex(F.pmod(x, F.lit(SIGNS)) + FIRST_SIGN)), "")), "UTF-16BE")
 
 
-def twos(h: Column) -> Column:
-    """A hash of each run of two words, given by their hashes."""
-    rest = F.size(h) - 1
-    return F.when(rest > 0, F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(2), rest), lambda x, y: x.bitwiseXOR(F.shiftleft(y, 1)))).otherwise(F.slice(h, 1, 0))
-
-
 def wide_parity(h: Column, parts: int) -> list[Column]:
-    """Parity sketches of words or runs, given by their hashes and dealt to so many sketches by them."""
-    return [parity(F.filter(h, lambda x, k=k: F.shiftrightunsigned(x, 40).bitwiseAND(F.lit(parts - 1)) == k), 48) for k in range(parts)]
+    """Parity sketches of words, given by their hashes and dealt to so many sketches by them."""
+    # a lambda of two arguments would be given each element's place as the second one
+    dealt = lambda k: lambda x: F.shiftrightunsigned(x, 40).bitwiseAND(F.lit(parts - 1)) == k
+    return [parity(F.filter(h, dealt(k)), 48) for k in range(parts)]
 
 
 def close(x: str, y: str, columns: list[str]) -> Column:
-    """Whether the lines x and y of these wide parities, of words (q0, ...) and of runs (t0, ...), may be similar; true for all that are.
+    """Whether the lines x and y of these wide parities may be similar; true for all that are.
 
-    An edit of one word changes two bits of all its words' at most, and four of its runs'. Words come again in a line and cancel out, which
-    runs hardly do, and lines with the same words in another order have other runs; words tell more where a long passage is shared.
+    An edit of one word changes two bits at most. Words that come again in a line cancel out.
     """
-    most, out = allowed(F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))), F.lit(True)
-    for kind, turned in (("q", 2), ("t", 4)):
-        bits = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns if c.startswith(kind)]
-        out = out & (sum(bits, F.lit(0)) <= most * turned)
-    return out
+    bits = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns]
+    return sum(bits, F.lit(0)) <= allowed(F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))) * 2
 
 
 def similar(x: Column, y: Column) -> Column:
@@ -233,7 +225,7 @@ def _across(named: DataFrame, sketches: DataFrame, scratch: Scratch | None = Non
     """(a, b): lines of one bucket and different labels whose sketches and lengths allow that they are similar, or, where `sketches` has their texts (sym), that are similar. Only lines of one length level or two neighbouring ones meet.
 
     Lines that share a passage but nothing else are many pairs and hardly any link. So first those go that no other line of the bucket may be
-    similar to, and then texts are compared where lines meet; a bucket is dealt to a task for each PART of its lines. No pair is kept but a link.
+    similar to, and then texts are compared where lines meet, each pair once; a bucket is dealt to a task for each PART of its lines. No pair is kept but a link.
     """
     keep = scratch.keep if scratch else lambda d: d
     bucket = Window.partitionBy("key")
@@ -247,6 +239,9 @@ def _across(named: DataFrame, sketches: DataFrame, scratch: Scratch | None = Non
     apart = (F.col("x.label") != F.col("y.label")) & possible(*side("x"), *side("y")) & close("x", "y", wide)
     x, y = n.select("key", "n", "p", "label", *wide, levels.alias("level")).alias("x"), n.alias("y")
     may = keep(y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & apart, "left_semi"))
+    # lines that meet in several buckets are compared in the first of them, so each line has its buckets before this one
+    may = may.withColumn("before", F.filter(F.collect_set("key").over(Window.partitionBy("k1")), lambda k: k < F.col("key")))
+    apart = apart & ((F.col("y.label") == F.col("y.low")) | (F.col("x.k1") < F.col("y.k1"))) & ~F.arrays_overlap("x.before", "y.before")
     if "sym" in sketches.columns:
         may = may.join(sketches.select("k1", "sym"), "k1")
         apart = apart & similar(F.col("x.sym"), F.col("y.sym"))
@@ -261,13 +256,14 @@ def _across(named: DataFrame, sketches: DataFrame, scratch: Scratch | None = Non
 
 
 def _texts(slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(k1, sym, q0, ..., t0, ...) of nodes, from their first occurrences: one join with the documents."""
+    """(k1, sym, q0, ...) of nodes, from their first occurrences: one join with the documents."""
     wanted = nodes.select("k1", "spot.id", "spot.dk", "spot.pos").groupBy("id", "dk").agg(F.collect_list(F.struct("pos", "k1")).alias("at"))
     on = slim["id"].eqNullSafe(wanted["id"]) & (slim["dk"] == wanted["dk"])
-    found = slim.join(wanted, on).select(F.split("text", "\n").alias("lines"), "at").select("lines", F.explode("at").alias("at"))
-    found = found.select("at.k1", F.transform(words(F.get("lines", F.col("at.pos"))), lambda x: F.xxhash64(x)).alias("h"))
-    found = found.select("k1", "h", twos(F.col("h")).alias("two"))
-    wide = [q.alias(f"{c}{k}") for c, of, parts in (("q", "h", WIDE), ("t", "two", WIDE_TWO)) for k, q in enumerate(wide_parity(F.col(of), parts))]
+    # only the wanted lines are rows, none with all lines of its text
+    line = lambda ls: F.transform("at", lambda a: F.struct(a["k1"].alias("k1"), F.get(ls, a["pos"]).alias("line")))
+    found = slim.join(wanted, on).select(F.explode(let(F.split("text", "\n"), line)).alias("s"))
+    found = found.select("s.k1", F.transform(words(F.col("s.line")), lambda x: F.xxhash64(x)).alias("h"))
+    wide = [q.alias(f"q{k}") for k, q in enumerate(wide_parity(F.col("h"), WIDE))]
     return found.select("k1", symbols(F.col("h")).alias("sym"), *wide).dropDuplicates(["k1"])
 
 
