@@ -146,16 +146,38 @@ def name_similarity(names: DataFrame, key: str, name: str, least: float) -> Data
     return a.join(b, "pair").where("a < b").select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least).distinct()
 
 
-def name_links(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
-    """(k, class, links): for each name the smallest key of those with the same words, and how many other names are similar to it.
-
-    Pairs are looked for between classes only, so copies cost a row each; a name without words is a class of its own and has no links.
-    """
+def _name_classes(names: DataFrame, key: str, name: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(k, words), (words, class, size) and (a, b, score), a < b: names, their classes of equal words, and classes that are similar."""
     ws = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")))
     words = names.select(F.col(key).alias("k"), F.nullif(F.array_join(ws, " "), F.lit("")).alias("words"))
     classes = words.where("words IS NOT NULL").groupBy("words").agg(F.min("k").alias("class"), F.count("*").alias("size"))
-    pairs = name_similarity(classes, "class", "words", least)
+    return words, classes, name_similarity(classes, "class", "words", least)
+
+
+def _members(words: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     near = both.join(classes.select(F.col("class").alias("other"), "size"), "other").groupBy("class").agg(F.sum("size").alias("near"))
     known = classes.join(near, "class", "left").select("words", "class", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    return words.join(known, "words", "left").select("k", F.coalesce("class", "k").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return words.join(known, "words", "left").select("k", F.coalesce("class", "k").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "words")
+
+
+def name_links(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
+    """(k, class, links): for each name the smallest key of those with the same words, and how many other names are similar to it.
+
+    Pairs are looked for between classes only, so copies cost a row each; a name without words is a class of its own and has no links.
+    """
+    return _members(*_name_classes(names, key, name, least)).drop("words")
+
+
+def name_pairs(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
+    """(kind, a, b, score, links): all pairs of similar names with their scores, by classes of equal words.
+
+    A member is a name a of the class b, with its number of links; its score, that of two members, is 1, or null for a name without words. A
+    link is two similar classes a < b, with their score and the number of pairs of names that it stands for. So two names are similar if they
+    are members of one class or of two linked ones, and no pair of copies is a row.
+    """
+    words, classes, pairs = _name_classes(names, key, name, least)
+    member = _members(words, classes, pairs).select(F.lit("member").alias("kind"), F.col("k").alias("a"), F.col("class").alias("b"), F.when(F.col("words").isNotNull(), 1.0).alias("score"), "links")
+    size = lambda c: classes.select(F.col("class").alias(c), F.col("size").alias(f"_{c}"))
+    link = pairs.join(size("a"), "a").join(size("b"), "b").select(F.lit("link"), "a", "b", "score", F.col("_a") * F.col("_b"))
+    return member.union(link)
