@@ -30,3 +30,13 @@ def test_spots_of_texts_without_the_word(spark):
 
 def test_papers_of_one_file_are_read_by_all_cores(spark):
     assert q_derived._papers(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_days_of_notations(spark):
+    """Each notation of a day is worked out once, within the array of its line, and dates are looked for without a join of lines."""
+    want = {"2024-02-29": "2024-02-29", "2023-2-29": None, "1/2/23": "2023-02-01", "31.12.1990": "1990-12-31", "31-12-1989": None, "01/02/0005": "2005-02-01", "5 de enero de 2024": "2024-01-05", "7 sept. 2020": "2020-09-07", "may 3rd, 2100": "2100-05-03", "0/1/2020": None, "2101-01-01": None}
+    d = spark.createDataFrame([(i, f"on {raw} x") for i, raw in enumerate(want)], "id int, text string")
+    ls = extract.lines(d, "id", "text")
+    got = {r.raw: str(r.date) for r in extract.dates(ls).collect()}
+    assert got == {raw: day for raw, day in want.items() if day}
+    assert "Join" not in extract.date_roles(ls)._jdf.queryExecution().optimizedPlan().toString()

@@ -7,6 +7,7 @@ window over what the rules found. Nothing leaves the JVM. A null text has no lin
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
@@ -94,6 +95,11 @@ def spots(c: Column, pattern: str) -> Column:
     return F.when(holds(c, pattern), F.transform(found, at)).when(c.isNotNull(), F.array().cast("array<struct<start:int,end:int,raw:string>>"))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def tagged(c: Column, pattern: str, **tags) -> Column:
     """array<struct<start,end,raw,tags>> of a pattern's matches, each with the given literals."""
     return F.transform(spots(c, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), *[F.lit(v).alias(k) for k, v in tags.items()]))
@@ -167,21 +173,32 @@ DATE = rf"(?<![\w/.-])(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[/.-]\d{{1,2}}[/.-
 
 def date_of(raw: Column) -> Column:
     """The day that a notation means, day before month, years of two digits from 2000; null where there is no such day or it is not in 1990 to 2100."""
-    part = lambda p, g: F.regexp_extract(raw, p, g).try_cast("int")
-    iso, dmy, named, us = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$", r"^(\d{1,2})\D+(\d{4})$", r"^[a-z.]+\s+(\d{1,2})\D+(\d{4})$"
     months = F.create_map(*[F.lit(x) for kv in rules.MONTHS.items() for x in kv])
-    month = F.element_at(months, F.regexp_extract(raw, f"({'|'.join(rules.MONTHS)})", 1))
-    year = F.coalesce(part(iso, 1), part(dmy, 3), part(named, 2), part(us, 2))
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    at = (year, F.coalesce(part(iso, 2), part(dmy, 2), month), F.coalesce(part(iso, 3), part(dmy, 1), part(named, 1), part(us, 1)))
-    day = F.try_to_date(F.format_string("%04d-%02d-%02d", *at))
-    return F.when(year.between(1990, 2100), day)
+
+    def day(n: Column) -> Column:
+        """Of a notation's numbers: year, month and day, or day, month and year, or day and year beside the name of a month."""
+        at = lambda i: F.get(n, F.lit(i))
+        named, iso = F.size(n) == 2, F.char_length(at(0)) == 4
+        month = F.when(named, F.element_at(months, F.regexp_extract(raw, f"({'|'.join(rules.MONTHS)})", 1)).cast("string")).otherwise(at(1))
+        year = F.when(named, at(1)).when(iso, at(0)).otherwise(at(2)).try_cast("int")
+        rest = F.concat(F.lit("-"), month, F.lit("-"), F.when(iso & ~named, at(2)).otherwise(at(0)))
+        full = lambda y: F.when(y.between(1990, 2100), F.try_to_date(F.concat(y.cast("string"), rest)))
+        return once(F.when(year < 100, year + 2000).otherwise(year), full)
+
+    return once(F.regexp_extract_all(raw, F.lit(r"\d+"), F.lit(0)), day)
 
 
 def dates(ls: DataFrame) -> DataFrame:
     """(doc, n, start, end, raw, date) of `lines`: every date with its year."""
-    found = ls.where(F.col("f").rlike(r"\d{4}|\d[/.-]\d")).select("doc", "n", F.explode(spots(F.col("f"), DATE)).alias("s"))
-    return found.select("doc", "n", "s.start", "s.end", "s.raw", date_of(F.col("s.raw")).alias("date")).where("date IS NOT NULL")
+    return _dates(ls, "doc", "n")
+
+
+def _dates(ls: DataFrame, *columns: str) -> DataFrame:
+    """`dates` with these columns of their lines."""
+    # the day is worked out within the array: as a column that is filtered on, it would be worked out again for the filter
+    day = F.transform(spots(F.col("f"), DATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), date_of(s["raw"]).alias("date")))
+    found = ls.where(F.col("f").rlike(r"\d{4}|\d[/.-]\d")).select(*columns, F.explode(F.filter(day, lambda s: s["date"].isNotNull())).alias("s"))
+    return found.select(*columns, "s.start", "s.end", "s.raw", "s.date")
 
 
 def date_roles(ls: DataFrame, window: int = 90, gap: int = 40, alone: int = 12) -> DataFrame:
@@ -190,10 +207,10 @@ def date_roles(ls: DataFrame, window: int = 90, gap: int = 40, alone: int = 12)
     The role is that of the label that ends nearest before the date on its line, after the date before it; for a line's first date
     without one, of a label at the end of the line above. The second date of a range takes the role that goes with the first's.
     """
-    found = dates(ls)
     row = W.partitionBy("doc", "n").orderBy("start")
-    text = ls.select("doc", "n", "line", "f", F.lag(F.trim("f")).over(W.partitionBy("doc").orderBy("n")).alias("above"))
-    d = found.withColumn("before", F.lag("end").over(row)).join(text, ["doc", "n"])
+    # dates are looked for in lines with the line above them, so that all is one shuffle by texts
+    text = ls.where("doc IS NOT NULL").select("doc", "n", "line", "f", F.lag(F.trim("f")).over(W.partitionBy("doc").orderBy("n")).alias("above"))
+    d = _dates(text, "doc", "n", "line", "f", "above").withColumn("before", F.lag("end").over(row))
     begin = F.greatest(F.col("start") - window, F.coalesce("before", F.lit(0)))
     d = d.withColumn("context", F.substring("f", begin + 1, F.col("start") - begin)).withColumn("own", last_label(F.col("context"), rules.ROLES))
     d = d.withColumn("own", F.when(F.char_length("context") - F.col("own.end") <= gap, F.col("own")))
@@ -233,7 +250,9 @@ def periods(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     unit = F.regexp_extract("s.raw", r"(dia|mes|ano|year|month|day|semana|week)", 1)
     week = unit.isin("semana", "week")
     begin = F.greatest(F.col("s.start") - 160, F.lit(0))
-    around = F.substring("f", begin + 1, F.col("s.end") + 200 - begin)
+    # a column of its own, so that it is cut out once and not for each rule
+    p = p.select("doc", "para", "s", begin.alias("begin"), F.substring("f", begin + 1, F.col("s.end") + 200 - begin).alias("around"))
+    begin, around = F.col("begin"), F.col("around")
     near = F.concat(*[tagged(around, pattern, i=i, name=name, bonus=bonus) for i, (name, bonus, pattern) in enumerate(rules.PURPOSES)])
     near = F.transform(near, lambda x: F.struct((F.abs(begin + x["start"] - F.col("s.start")) - x["bonus"]).alias("d"), x["i"].alias("i"), x["name"].alias("name")))
     base = F.lit("")
